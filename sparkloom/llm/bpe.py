@@ -28,8 +28,8 @@ from sparkloom.llm.common import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Characters that are read at once, and bytes of a pretoken above which it is streamed.
 PIECE, LONG = 1 << 16, 192
-#: Pretokens whose ids are remembered.
-REMEMBERED = 250_000
+#: Pretokens whose ids are remembered, in each of two generations.
+REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,63 +39,129 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteBpe(dict):
-    """Maps pretokens to their packed ids (a bounded memory of ids computed before)."""
+class Bpe:
+    """A vocabulary with merges over the letters of byte strings (or over bytes); what is exact about it.
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
-        letters = byte_letters()
-        self.token: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token |= {i: t.encode() for t, i in self.special.items()}
-        ids = {self.token[i]: i for i in spec["model"]["vocab"].values()}
+    ids: spelling to id; first: the smallest spellings (one byte, with the word end where there is one).
+    """
+
+    def __init__(self, ids: dict, merges: list[tuple]):
         self.ids = ids
-        self.byte = [ids[bytes([b])] for b in range(256)]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            a, b = (bytes(letters[c] for c in x) for x in (a, b))
-            self.merge.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.spelling = {i: t for t, i in ids.items()}
+        self.rank: dict = {}
+        for rank, (a, b) in enumerate(merges):
+            self.rank.setdefault((a, b), rank)
         self.lookahead = max(map(len, ids))
-        self.find = regex.compile(PATTERN).findall
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: Each beginning of a spelling, with the id if it is one itself, else -1.
+        self.prefix: dict = {t[:i]: -1 for t in ids for i in range(1, len(t))} | ids
         self.fits: dict[tuple[int, int], bool] = {}
 
-    def __missing__(self, pretoken: str) -> bytes:
-        data = pretoken.encode()
-        out = array("I", self.merged(data)).tobytes() if len(data) <= LONG else b"".join(array("I", x).tobytes() for x in self.streamed(data))
-        if len(data) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[pretoken] = out
-        return out
+    def first(self, data) -> list:
+        return [data[i : i + 1] for i in range(len(data))]
 
-    def merged(self, data: bytes) -> list[int]:
-        """The ids of a short byte string: the least-ranked pair merges first, leftmost among equals."""
-        whole = self.ids.get(data)
-        parts = [self.byte[b] for b in data]
-        get = self.merge.get
-        if whole is not None and len(parts) == 2:
-            return [whole]
+    def merged(self, data) -> list[int]:
+        """The ids by definition: the least-ranked pair merges first, the leftmost among equals."""
+        parts, get, none = self.first(data), self.rank.get, len(self.rank)
         while len(parts) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                found = get(pair)
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+            ranks = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [best[1]]
-        return parts
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ids[p] for p in parts]
 
-    def side_by_side(self, a: int, b: int) -> bool:
+    def side_by_side(self, a: int | None, b: int) -> bool:
+        """Whether token b can follow a (None: begin a pretoken)."""
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            left = b"" if isinstance(self.spelling[b], bytes) else ""
+            left = left if a is None else self.spelling[a]
+            known = self.fits[a, b] = self.merged(left + self.spelling[b]) == ([b] if a is None else [a, b])
         return known
 
+    def tokens(self, data) -> list[int]:
+        """The ids of a short pretoken: the longest tokens that can stand side by side, with a way back.
+
+        A sequence of tokens is the one that merging gives if and only if each two neighbours are.
+        """
+        found = self.ids.get(data)
+        if found is not None and self.side_by_side(None, found):
+            return [found]
+        fits, prefix, n = self.fits, self.prefix, len(data)
+        out: list[int] = []
+        ends: list[int] = []
+        waiting: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        pos, last = 0, None
+        while pos < n:
+            begun = []
+            for stop in range(pos + 1, n + 1):
+                t = prefix.get(data[pos:stop])
+                if t is None:
+                    break
+                if t >= 0:
+                    begun.append((t, stop))
+            while True:
+                while begun:
+                    t, stop = begun.pop()
+                    known = fits.get((last, t))
+                    if (self.side_by_side(last, t) if known is None else known) and stop not in dead:
+                        break
+                else:
+                    dead.add(pos)
+                    ends.pop()
+                    out.pop()
+                    pos, last, begun = (ends[-1] if ends else 0), (out[-1] if out else None), waiting.pop()
+                    continue
+                break
+            waiting.append(begun)
+            out.append(t)
+            ends.append(stop)
+            pos, last = stop, t
+        return out
+
+
+class Remembered(dict):
+    """A memory of results in two generations of bounded size; `compute` makes what is in neither."""
+
+    def __init__(self, compute, most: int = REMEMBERED):
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class ByteBpe(Bpe):
+    """Byte-level BPE of a tokenizer file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        letters = byte_letters()
+        ids = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        for t in self.special:
+            ids.pop(t.encode(), None)
+        merges = (pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"])
+        super().__init__(ids, [tuple(bytes(letters[c] for c in x) for x in pair) for pair in merges])
+        self.token: dict[int, bytes] = self.spelling | {i: t.encode() for t, i in self.special.items()}
+        self.find = regex.compile(PATTERN).findall
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.remembered = Remembered(self.packed)
+
+    def packed(self, pretoken: str) -> bytes:
+        data = pretoken.encode()
+        return array("I", self.tokens(data)).tobytes() if len(data) <= LONG else b"".join(array("I", x).tobytes() for x in self.streamed(data))
+
     def streamed(self, data: Iterable[int]) -> Iterator[list[int]]:
         """Ids of a pretoken of any length, emitted as they become stable."""
         window = bytearray()
@@ -118,7 +184,7 @@ class ByteBpe(dict):
                 if t is None:
                     continue
                 left = before if size == n else last[n - size - 1]
-                if (self.merged(self.token[t]) == [t]) if left is None else self.side_by_side(left, t):
+                if self.side_by_side(left, t):
                     last.append(t)
                     break
             if n % 4096 == 0:
@@ -155,7 +221,7 @@ class ByteBpe(dict):
             elif part:
                 pieces = [part] if len(part) <= PIECE else (part[i : i + PIECE] for i in range(0, len(part), PIECE))
                 for found in self.pretokens(pieces):
-                    yield b"".join(map(self.__getitem__, found))
+                    yield b"".join(map(self.remembered.__getitem__, found))
 
     def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids; a state machine holds the bytes of an unfinished character."""

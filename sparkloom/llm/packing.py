@@ -3,54 +3,90 @@
 from __future__ import annotations
 
 import heapq
+import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import small_batches
 
-#: Words whose ids are remembered, and tokens that are packed together (which bounds memory).
-REMEMBERED, TOGETHER = 250_000, 1 << 20
+#: Words and parts that are remembered.
+REMEMBERED = 400_000
+#: Tokens that are packed together, which bounds memory.
+TOGETHER = 1 << 20
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
 class WordIds(dict):
-    """Packed 32-bit ids of white-space words; the tokenizer treats each word by itself."""
+    """Packed 32-bit ids of white-space words; the tokenizer treats each word by itself.
+
+    Words not met before are cut into the parts that the tokenizer's own pattern gives, and parts
+    not met before go to the library together. Two generations of bounded size are remembered.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.find = regex.compile(PARTS).findall
+        self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def parts_of(self, data: bytes) -> list[str]:
+        word = data.decode()
+        if "<|" in word:  # may hold special tokens
+            return [word]
+        if word.isascii():
+            return self.find(word.lower())
+        return self.find(unicodedata.normalize("NFC", word).lower()) if max(word) < "\u0250" else [word]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
+        old = self.old
+        known = [w for w in words if w in old]
+        self.update((w, old[w]) for w in known)
+        fresh = [(w, self.parts_of(w)) for w in words.difference(known)]
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        todo = list({p for _, parts in fresh for p in parts if p not in self.parts})
+        for at in range(0, len(todo), 4096):
+            some = todo[at : at + 4096]
+            found = self.library.encode_batch_fast(some, add_special_tokens=False)
+            self.parts.update((p, array("I", x.ids).tobytes()) for p, x in zip(some, found, strict=True))
+        get = self.parts.__getitem__
+        self.update((w, b"".join(map(get, parts))) for w, parts in fresh)
+
+    def encode(self, texts: list[bytes | None], together: int = 1 << 17) -> Iterator[bytes]:
+        """Packed ids of each text; the words of about `together` words of texts are learned at once."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(text.split() if text else [])
+            size += len(held[-1])
+            if size >= together:
+                yield from self._coded(held)
+                held, size = [], 0
+        yield from self._coded(held)
+
+    def _coded(self, held: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        todo = list(words)
-        for at in range(0, len(todo), 1024):
-            part = todo[at : at + 1024]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []
-        out = []
-        for at in range(0, len(words), REMEMBERED // 2):
-            part = words[at : at + REMEMBERED // 2]
-            missing = set(part).difference(self)
-            if missing:
-                self.learn(missing)
-                missing = set(part).difference(self)  # what a clearing took away
-                if missing:
-                    self.learn(missing)
-            out.append(b"".join(map(self.__getitem__, part)))
-        return b"".join(out)
+        self.learn(set().union(*held).difference(self.keys()))
+        get = self.__getitem__
+        for words in held:
+            yield b"".join(map(get, words))
 
 
 @lru_cache(maxsize=2)
@@ -149,8 +185,8 @@ def pack(docs: DataFrame, path: str, room: int = 2048, end_id: int = 1, id_col:
 
         size, end = 0, end_id.to_bytes(4, "little")
         for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids = coded + end
                 held.append((doc, len(ids) // 4, 0, ids))
                 size += len(ids) // 4
                 if size >= TOGETHER:
