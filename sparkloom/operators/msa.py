@@ -167,12 +167,15 @@ def row_pairs(cells: DataFrame) -> DataFrame:
     )
 
 
-def concatenate(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(msa_id, seq_id, row) of both side by side, joined by seq_id; a row that one side lacks is gaps there."""
+def concatenate(left: DataFrame, right: DataFrame, empty_width: int = 0) -> DataFrame:
+    """(msa_id, seq_id, row) of both side by side, joined by seq_id; a row that one side lacks is gaps there.
+
+    An alignment without any row on one side has `empty_width` columns there.
+    """
     wide = lambda df: df.groupBy("msa_id").agg(F.max(F.length("row")).alias("width"))
     joined = left.withColumnRenamed("row", "l").join(right.withColumnRenamed("row", "r"), ["msa_id", "seq_id"], "full")
     joined = joined.join(wide(left).withColumnRenamed("width", "lw"), "msa_id", "left").join(wide(right).withColumnRenamed("width", "rw"), "msa_id", "left")
-    gaps = lambda c: F.repeat(F.lit("-"), F.coalesce(c, F.lit(0)).cast("int"))
+    gaps = lambda c: F.repeat(F.lit("-"), F.coalesce(c, F.lit(empty_width)).cast("int"))
     return joined.select("msa_id", "seq_id", F.concat(F.coalesce("l", gaps(F.col("lw"))), F.coalesce("r", gaps(F.col("rw")))).alias("row"))
 
 

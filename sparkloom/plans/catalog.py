@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.letters import kimura
 from sparkloom.operators import ensemble, kmers, msa, posterior, profile, score, sequences, trees
+from sparkloom.plans import align
 from sparkloom.plans import stand_ins as s
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -293,7 +294,7 @@ def kimura_distance(spark, sf):
   SELECT t.msa_id, t.seq_id, t.row || coalesce(g.row, repeat('-', {s.WIDTH})) AS row FROM test_rows t LEFT JOIN third g USING (msa_id, seq_id)"""
 )
 def concat_alignments(spark, sf):
-    return msa.concatenate(s.rows(spark, sf), s.rows(spark, sf, "gold").where("seq_id % 3 = 0"))
+    return msa.concatenate(s.rows(spark, sf), s.rows(spark, sf, "gold").where("seq_id % 3 = 0"), s.WIDTH)
 
 
 @query(
@@ -585,3 +586,66 @@ def msa_pair_posterior(spark, sf):
     part = s.table(spark, sf, "part")
     places = part.select(F.concat_ws("/", "p_brand", "p_type").alias("set_id"), F.col("p_partkey").cast("bigint").alias("seq_id"), F.explode(F.sequence(F.lit(1), F.length("p_name"))).alias("pos")).withColumn("pos", F.col("pos").cast("bigint")).withColumn("col", F.col("pos"))
     return rounded(posterior.between_alignments(s.posteriors(spark, sf), places.where("seq_id % 2 = 0"), places.where("seq_id % 2 = 1")), "p")
+
+
+# Kernels: each brand-and-type set of part names is a family; rows only
+
+
+def _families(spark, sf):
+    return s.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("set_id"), F.col("p_partkey").cast("bigint").alias("seq_id"), F.translate("p_name", " ", "").alias("letters"))
+
+
+@query()
+def pair_posteriors(spark, sf):
+    return align.pair_posteriors(align.pairs_within(_families(spark, sf)))
+
+
+@query()
+def expected_accuracy(spark, sf):
+    return align.expected_accuracies(align.pairs_within(_families(spark, sf)))
+
+
+@query()
+def sw_scores(spark, sf):
+    return align.local_scores(align.pairs_within(_families(spark, sf)))
+
+
+@query()
+def viterbi_identity(spark, sf):
+    return align.global_identities(align.pairs_within(_families(spark, sf)))
+
+
+@query()
+def likelihood_distance(spark, sf):
+    return align.likelihood_distances(align.pairs_within(_families(spark, sf)))
+
+
+@query()
+def upgma_tree(spark, sf):
+    ea = align.expected_accuracies(align.pairs_within(_families(spark, sf)))
+    return align.upgma(ea.select("set_id", "x", "y", (1 - F.col("ea")).alias("d")))
+
+
+@query()
+def progressive_alignment(spark, sf):
+    return align.align_families(_families(spark, sf), refine=0)
+
+
+@query()
+def refined_alignment(spark, sf):
+    return align.align_families(_families(spark, sf), refine=10)
+
+
+@query()
+def replicate_ensemble(spark, sf):
+    return align.replicates(_families(spark, sf), seeds=2, perms=("none", "abc"), consistency=1, refine=0)
+
+
+@query()
+def greedy_clusters(spark, sf):
+    return align.cluster(_families(spark, sf), 0.7)
+
+
+@query()
+def super5_alignment(spark, sf):
+    return align.divide_and_conquer(_families(spark, sf), 0.7)

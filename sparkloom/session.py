@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,3 +27,20 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _shipped.add(app)
     return spark
+
+
+def materialize(df):
+    """Write to the folder that driver and executors share and read again: what an iteration stands on."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = tempfile.mkdtemp(prefix="sparkloom-")
+            atexit.register(shutil.rmtree, _folders[app], True)
+        folder = f"file://{_folders[app]}"
+    path, schema = f"{folder.rstrip('/')}/sparkloom/{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(schema).parquet(path)
