@@ -17,20 +17,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.bpe import byte_letters
 from sparkloom.llm.common import small_batches
 
 #: Words and parts that are remembered.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Tokens that are packed together, which bounds memory.
 TOGETHER = 1 << 20
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
-class WordIds(dict):
+class WordIds:
     """Packed 32-bit ids of white-space words; the tokenizer treats each word by itself.
 
     Words not met before are cut into the parts that the tokenizer's own pattern gives, and parts
-    not met before go to the library together. Two generations of bounded size are remembered.
+    not met before go to the library's model. Two generations of bounded size are remembered.
     """
 
     def __init__(self, path: str):
@@ -40,53 +41,57 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.letter = {b: c for c, b in byte_letters().items()}
         self.find = regex.compile(PARTS).findall
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def parts_of(self, data: bytes) -> list[str]:
-        word = data.decode()
-        if "<|" in word:  # may hold special tokens
-            return [word]
-        if word.isascii():
-            return self.find(word.lower())
-        return self.find(unicodedata.normalize("NFC", word).lower()) if max(word) < "\u0250" else [word]
-
-    def learn(self, words: set[bytes]) -> None:
-        old = self.old
-        known = [w for w in words if w in old]
-        self.update((w, old[w]) for w in known)
-        fresh = [(w, self.parts_of(w)) for w in words.difference(known)]
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        todo = list({p for _, parts in fresh for p in parts if p not in self.parts})
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.parts.update((p, array("I", x.ids).tobytes()) for p, x in zip(some, found, strict=True))
-        get = self.parts.__getitem__
-        self.update((w, b"".join(map(get, parts))) for w, parts in fresh)
-
-    def encode(self, texts: list[bytes | None], together: int = 1 << 17) -> Iterator[bytes]:
-        """Packed ids of each text; the words of about `together` words of texts are learned at once."""
-        held: list[list[bytes]] = []
-        size = 0
+    def part(self, part: str) -> bytes:
+        """The ids of a part; its letters are those of its bytes."""
+        found = self.parts.get(part)
+        if found is None:
+            spelled = part if part.isascii() and part.isprintable() else "".join(map(self.letter.__getitem__, part.encode()))
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def word(self, data: bytes) -> bytes:
+        """The ids of a word. Case of ASCII letters doesn't matter, and a comma or stop after one is a part of its own."""
+        plain = data.lower()
+        tail = plain[-1:]
+        if (tail == b"," or tail == b".") and plain[-2:-1].isalpha():
+            return self.ids(plain[:-1]) + self.part(tail.decode())
+        if plain != data:
+            return self.ids(plain)
+        word = plain.decode()
+        if "<|" in word or not (word.isascii() or max(word) < "\u0250"):  # may hold special tokens, or letters beyond Latin
+            return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        if word.isalpha() and word.isascii():
+            return self.part(word)
+        return b"".join(map(self.part, self.find(unicodedata.normalize("NFC", word).lower())))
+
+    def ids(self, word: bytes) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self.word(word)
+            self.known[word] = found
+        return found
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Packed ids of each text."""
         for text in texts:
-            held.append(text.split() if text else [])
-            size += len(held[-1])
-            if size >= together:
-                yield from self._coded(held)
-                held, size = [], 0
-        yield from self._coded(held)
-
-    def _coded(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self.learn(set().union(*held).difference(self.keys()))
-        get = self.__getitem__
-        for words in held:
-            yield b"".join(map(get, words))
+            words = text.split() if text else []
+            if len(self.known) > REMEMBERED:
+                self.old, self.known = self.known, {}
+            if len(self.parts) > REMEMBERED:
+                self.parts = {}
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [self.ids(w) if x is None else x for w, x in zip(words, found, strict=True)]
+            yield b"".join(found)
 
 
 @lru_cache(maxsize=2)
