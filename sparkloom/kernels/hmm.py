@@ -69,9 +69,9 @@ def posterior(x: np.ndarray, y: np.ndarray, model: Model = Model(), emit=None) -
         up, left, both = i > 0, j > 0, (i > 0) & (j > 0)
         a, b = i[both], j[both]
         if len(a):
-            v = np.tensordot(t[:, 0], f[:, a - 1, b - 1], 1) * step
+            v = np.tensordot(t[:, 0], f[:, a - 1, b - 1], 1)
             v += np.where((a == 1) & (b == 1), start[0], 0.0)
-            f[0, a, b] = v * ratio[a - 1, b - 1]
+            f[0, a, b] = step * v * ratio[a - 1, b - 1]
         a, b = i[up], j[up]
         for k in (1, 3):
             f[k, a, b] = t[0, k] * f[0, a - 1, b] + t[k, k] * f[k, a - 1, b] + np.where((a == 1) & (b == 0), start[k], 0.0)

@@ -205,7 +205,7 @@ def transitive_rows(paths: DataFrame, reference: DataFrame) -> DataFrame:
     cells = paths.join(reference, "ref_id").select("seq_id", "letters", "path", "row").mapInPandas(run, steps)
     width = cells.where("gap is not null").groupBy("gap").agg((F.max("k") + 1).alias("w"))
     length = reference.agg(F.max(F.length("row")).alias("n"))
-    grid = length.select(F.explode(F.sequence(F.lit(0), F.col("n"))).cast("string").alias("g")).select(F.col("g").cast("bigint").alias("gap")).join(width, "gap", "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    grid = length.select(F.explode(F.sequence(F.lit(0), F.col("n"))).alias("g")).select(F.col("g").cast("bigint").alias("gap")).join(width, "gap", "left").withColumn("w", F.coalesce("w", F.lit(0)))
     before = F.sum("w").over(Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
     starts = grid.select("gap", (F.col("gap") + before - F.col("w")).alias("first"), (F.col("gap") + before).alias("own"))
     total = starts.agg(F.max("own").alias("total"))

@@ -23,15 +23,15 @@ def read_fasta(spark: SparkSession, path: str, keep_gaps: bool = False, preserve
     ord rises within a file, without being unbroken. The label is the header line, or its accession.
     """
     records = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
-    first = F.row_number().over(Window.partitionBy("file").orderBy("ord")) == 1
-    stray = records.withColumn("first", first).where(F.col("first") & (F.trim(F.col("value")) != "")).select(F.raise_error(F.concat(F.lit("not FASTA: "), "file")).alias("x"))
+    head = records.groupBy("file").agg(F.min_by("value", "ord").alias("head"))
+    stray = head.select(F.when(F.trim(F.col("head")) != "", F.raise_error(F.concat(F.lit("not FASTA: "), "file")).cast("string")).alias("x")).where("x is not null")
     label = F.rtrim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.substring_index("value", "\n", -1), r"\s", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     letters = body if keep_gaps else F.translate(body, "-.", "")
     letters = letters if preserve_case else F.upper(letters)
     out = records.where(F.trim(F.col("value")) != "").select("file", "ord", (accession(label) if accessions else label).alias("label"), letters.alias("letters")).where("letters <> ''")
-    return out.unionByName(stray.select(F.col("x").cast("string").alias("file"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("label"), F.lit("").alias("letters")))
+    return out.unionByName(stray.select(F.col("x").alias("file"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("label"), F.lit("").alias("letters")))
 
 
 def number_duplicates(seqs: DataFrame) -> DataFrame:
