@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of whole texts that one Arrow batch may hold.
@@ -62,6 +62,13 @@ def drop_materialized(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_id(docs: DataFrame, key: Column, text: Column) -> Column:
+    """A number that tells the texts of a repeated document key apart: always 0 if no key of docs has several."""
+    own = F.xxhash64(text.cast("binary"))
+    several = docs.where(text.isNotNull()).groupBy(key.alias("k")).agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b")
+    return F.lit(0).cast("long") if several.isEmpty() else own
+
+
 def split_words(data: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text; bytes.split() has exactly these separators."""
     return data.split() if data else []

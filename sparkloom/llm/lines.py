@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, small_batches
+from sparkloom.llm.common import materialize, small_batches, text_id
 
 #: Removed spans below this size go to every executor; beyond it documents are shuffled to them.
 BROADCAST_BYTES = 32 << 20
@@ -77,18 +77,18 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _removed(batches):
-    """For mapInArrow over (doc_id, first, place, key, early) sorted by doc_id, first, place: (doc_id, place)."""
+    """For mapInArrow over (doc_id, text_id, first, place, key, early) sorted by the first four: (doc_id, text_id, place)."""
     held: list[tuple] = []
 
     def flush():
-        early = sorted({(e, r[3]) for r in held for e in r[4]})
-        found = patience([k for _, k in early], [r[3] for r in held])
-        return [(held[j][0], held[j][2]) for _, j in found]
+        early = sorted({(e, r[4]) for r in held for e in r[5]})
+        found = patience([k for _, k in early], [r[4] for r in held])
+        return [(*held[j][:2], held[j][3]) for _, j in found]
 
     for batch in batches:
         out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:2] != row[:2]:
+            if held and held[-1][:3] != row[:3]:
                 out += flush()
                 held = []
             held.append(row)
@@ -98,36 +98,39 @@ def _removed(batches):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32())], ["doc_id", "place"])
+    kinds = (pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_id", "place"])
 
 
 def aligned_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, starts, stops): spans of lines aligned with an earlier document. docs: (doc_id without nulls, text binary)."""
+    """(doc_id, text_id, starts, stops): spans of lines aligned with an earlier document. docs: (doc_id without nulls, text binary, text_id)."""
+    row = ["doc_id", "text_id"]
 
     def keys(batches):
         for batch in batches:
-            ids, places, found = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, texts, places, found = [], [], [], []
+            for doc, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text:
                     k = line_keys(text, least_words)
                     found += k
                     ids.append(np.full(len(k), doc, np.int64))
+                    texts.append(np.full(len(k), text_id, np.int64))
                     places.append(np.arange(len(k), dtype=np.int32))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(found, pa.int64())], ["doc_id", "place", "key"]
+                    [*(pa.array(np.concatenate(x)) for x in (ids, texts, places)), pa.array(found, pa.int64())], ["doc_id", "text_id", "place", "key"]
                 )
 
-    lines = materialize(docs.mapInArrow(keys, "doc_id long, place int, key long"))
+    lines = materialize(docs.mapInArrow(keys, "doc_id long, text_id long, place int, key long"))
     first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     shared = materialize(lines.join(first, "key"))
     early = shared.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early"))
-    later = shared.where("doc_id > first").join(early, "key").select("doc_id", "first", "place", "key", "early")
-    gone = later.repartition("doc_id").sortWithinPartitions("doc_id", "first", "place").mapInArrow(_removed, "doc_id long, place int")
-    placed = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("s"))
+    later = shared.where("doc_id > first").join(early, "key").select(*row, "first", "place", "key", "early")
+    gone = later.repartition(*row).sortWithinPartitions(*row, "first", "place").mapInArrow(_removed, "doc_id long, text_id long, place int")
+    placed = gone.groupBy(*row).agg(F.array_sort(F.collect_set("place")).alias("s"))
     return materialize(
         placed.select(
-            "doc_id",
+            *row,
             F.expr("filter(s, (x, i) -> i = 0 or x - s[i - 1] > 1)").alias("starts"),
             F.expr("transform(filter(s, (x, i) -> i = size(s) - 1 or s[i + 1] - x > 1), x -> x + 1)").alias("stops"),
         )
@@ -144,18 +147,22 @@ def dedup(docs: DataFrame, least_words: int = 3, id_col: str = "doc_id", text_co
     never more than lines, however common a line is, and nothing has to be capped. Lines of fewer
     than `least_words` words (blank ones too) are shared only together with the line before them.
 
-    Null texts stay null with no lines. Rows that repeat a doc_id are judged as one document: both
-    lose what an earlier one has. Rows without doc_id come after all others and lose nothing to each
-    other. An empty table gives an empty result; all other columns are kept.
+    Null texts stay null with no lines. Rows that repeat a doc_id are one document: each loses what
+    an earlier document has and nothing to the others. Rows without doc_id are one document after
+    all others. An empty table gives an empty result; all other columns are kept.
     """
     small_batches(docs.sparkSession)
     last = (1 << 63) - 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
-    spans = aligned_lines(docs.select(key.alias("doc_id"), F.col(text_col).cast("binary").alias("text")), least_words)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops"))
-    size = spans.agg(F.sum(F.lit(40) + 8 * F.size("__starts"))).first()[0] or 0
+    text = F.col(text_col).cast("binary")
+    number = text_id(docs, key, text)
+    spans = aligned_lines(docs.select(key.alias("doc_id"), text.alias("text"), number.alias("text_id")), least_words)
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops"))
+    size = spans.agg(F.sum(F.lit(48) + 8 * F.size("__starts"))).first()[0] or 0
     kept = docs.drop("n_lines", "n_removed")
-    joined = kept.withColumn("__key", key).join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, F.col("__key") == F.col("__id"), "left")
+    keyed = kept.withColumn("__key", key).withColumn("__number", number)
+    same = (F.col("__key") == F.col("__id")) & (F.col("__number") == F.col("__text_id"))
+    joined = keyed.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left")
     joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
     left = F.expr(
         """array_join(flatten(transform(sequence(0, size(__starts)), i -> slice(__lines,

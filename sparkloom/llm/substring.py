@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop_materialized, materialize, small_batches
+from sparkloom.llm.common import drop_materialized, materialize, small_batches, text_id
 
 #: Odd multiplier of the polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -48,41 +48,42 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def _all_anchors(width: int, gram: int):
-    """For mapInArrow over (doc_id, text): the different anchors of each document."""
+    """For mapInArrow over (doc_id, text, text_id): the different anchors of each document."""
 
     def run(batches):
         for batch in batches:
-            ids, docs, places = [np.zeros(0, np.uint64)], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, docs, texts, places = [np.zeros(0, np.uint64)], [], [], []
+            for doc, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.split() if text else []
                 if len(words) >= width:
                     grams = rolling(word_hashes(words), gram)
                     at = np.unique(anchors(grams, width - gram + 1))
                     ids.append(grams[at])
                     docs.append(np.full(len(at), doc, np.int64))
+                    texts.append(np.full(len(at), text_id, np.int64))
                     places.append(at.astype(np.int32))
             if docs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))],
-                    ["anchor", "doc_id", "place"],
+                    [pa.array(np.concatenate(ids).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (docs, texts, places))],
+                    ["anchor", "doc_id", "text_id", "place"],
                 )
 
     return run
 
 
 def _windows(width: int, gram: int):
-    """For mapInArrow over (doc_id, text, places): the windows whose anchor stands at one of the places."""
+    """For mapInArrow over (doc_id, text, text_id, places): the windows whose anchor stands at one of the places."""
 
     def run(batches):
         for batch in batches:
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, text_id, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = word_hashes(text.split())
                 chosen = np.isin(anchors(rolling(h, gram), width - gram + 1), np.array(places, np.int64))
                 starts = np.flatnonzero(chosen)
                 keys = rolling(h, width)[starts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts.astype(np.int32))],
-                    ["window", "doc_id", "start"],
+                    [pa.array(keys.view(np.int64)), *(pa.array(np.full(len(starts), x, np.int64)) for x in (doc, text_id)), pa.array(starts.astype(np.int32))],
+                    ["window", "doc_id", "text_id", "start"],
                 )
 
     return run
@@ -106,32 +107,33 @@ def _regroup(run, rows: int = 1 << 17):
 
 
 def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(doc_id, starts, stops): spans of words under windows that also start earlier; null: the whole text.
+    """(doc_id, text_id, starts, stops): spans of words under windows that also start earlier; null: the whole text.
 
-    docs: (doc_id long without nulls, text binary).
+    docs: (doc_id long without nulls, text binary, text_id long).
     """
-    digests = docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    row, given = ["doc_id", "text_id"], docs.where("text is not null")
+    digests = given.select(*row, F.unhex(F.sha2("text", 256)).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(digests.join(first, "digest").where("doc_id > first").select("doc_id").distinct())
+    copies = materialize(digests.join(first, "digest").where("doc_id > first").select(*row).distinct())
 
-    found = docs.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, place int")
+    found = given.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, text_id long, place int")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    places = materialize(
-        found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(copies, "doc_id", "left_anti")
-    )
+    places = materialize(found.join(shared, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")).join(copies, row, "left_anti"))
     windows = materialize(
-        docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_regroup(_windows(width, gram)), "window long, doc_id long, start int")
+        given.join(places, row)
+        .select("doc_id", "text", "text_id", "places")
+        .mapInArrow(_regroup(_windows(width, gram)), "window long, doc_id long, text_id long, start int")
     )
     drop_materialized(places)
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(earliest, "window").where("struct(doc_id, start) > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(earliest, "window").where("struct(doc_id, text_id, start) > first").groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("s"))
     spans = later.select(
-        "doc_id",
+        *row,
         F.expr(f"filter(s, (x, i) -> i = 0 or x - s[i - 1] > {width})").alias("starts"),
         F.expr(f"transform(filter(s, (x, i) -> i = size(s) - 1 or s[i + 1] - x > {width}), x -> x + {width})").alias("stops"),
     )
     null = F.lit(None).cast("array<int>")
-    flagged = materialize(spans.unionByName(copies.select("doc_id", null.alias("starts"), null.alias("stops"))))
+    flagged = materialize(spans.unionByName(copies.select(*row, null.alias("starts"), null.alias("stops"))))
     drop_materialized(windows)
     return flagged
 
@@ -179,18 +181,20 @@ def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id
     anchor occurs more than once are compared, by a 64-bit hash of their words. Exact copies of a
     whole text are found first and settled without windows.
 
-    Null texts have no words. Rows that repeat a doc_id are judged as one document: none precedes
-    another. Rows without doc_id come after all others. Texts shorter than a window are kept whole.
-    An empty table gives an empty result; other columns are ignored.
+    Null texts have no words. Rows that repeat a doc_id are one document: equal texts count as one
+    text and are cut alike, different ones follow each other in the order of their hash. Rows without
+    doc_id are one document after all others. Texts shorter than a window are kept whole. An empty
+    table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     last = (1 << 63) - 1
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(last)), F.col(text_col).cast("binary")
+    docs = docs.select(key.alias("doc_id"), text.alias("text"), text_id(docs, key, text).alias("text_id"))
     flagged = duplicate_spans(docs, width, gram).withColumn("flag", F.lit(True))
-    size = flagged.agg(F.sum(F.lit(40) + 8 * F.coalesce(F.size("starts"), F.lit(0)))).first()[0] or 0
+    size = flagged.agg(F.sum(F.lit(48) + 8 * F.coalesce(F.size("starts"), F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         flagged = F.broadcast(flagged)
-    joined = docs.join(flagged, "doc_id", "left").select(
+    joined = docs.join(flagged, ["doc_id", "text_id"], "left").select(
         "doc_id", "text", "starts", "stops", F.expr("coalesce(flag and starts is null, false)").alias("whole")
     )
     out = joined.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string, factors array<array<long>>")
