@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialize
+
 
 def _above(step: DataFrame) -> DataFrame:
     return step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("d"), F.col("distance").alias("l"))
@@ -83,14 +85,17 @@ def divide(tree: DataFrame, a: int, b: int, depth: int = 64) -> tuple[DataFrame,
 
 
 def subset(tree: DataFrame, chosen: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, parent, length): the tree that chosen tips induce; nodes with tips below two children stay."""
-    up = closure(tree, depth)
+    """(node, parent, length): the tree that chosen tips induce; nodes with tips below two children stay.
+
+    The closure and the nodes that stay are written, since each is read several times.
+    """
+    up = materialize(closure(tree, depth))
     above = up.join(chosen, "node", "left_semi").where("depth > 0").select(F.col("ancestor").alias("node")).distinct()
     tips = chosen.join(above, "node", "left_anti")
     first = tree.where("parent is not null").select("node", "parent")
     with_tips = up.join(tips, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
-    forks = first.join(with_tips, "node").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select(F.col("parent").alias("node"))
-    kept = tips.select("node").union(forks).distinct()
+    forks = materialize(first.join(with_tips, "node").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select(F.col("parent").alias("node")))
+    kept = materialize(tips.select("node").union(forks).distinct())
     near = up.where("depth > 0").join(kept, "node", "left_semi").join(forks.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
     best = near.groupBy("node").agg(F.min(F.struct("depth", "ancestor", "distance")).alias("m"))
     return kept.join(best, "node", "left").select("node", F.col("m.ancestor").alias("parent"), F.col("m.distance").alias("length"))

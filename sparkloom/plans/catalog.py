@@ -2,51 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.letters import kimura
 from sparkloom.operators import ensemble, kmers, msa, posterior, profile, score, sequences, trees
 from sparkloom.plans import align
 from sparkloom.plans import stand_ins as s
-
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    for n in names:
-        df = df.withColumn(n, F.round(F.col(n).cast("double"), 6))
-    return df
-
-
-def longs(df: DataFrame, *names: str) -> DataFrame:
-    for n in names:
-        df = df.withColumn(n, F.col(n).cast("bigint"))
-    return df
-
-
-GAP = "letter IN ('-', '.')"
-N = "CAST({} AS BIGINT)".format
-R = "round(CAST({} AS DOUBLE), 6)".format
-COUNTS = f"""counts AS (SELECT msa_id, col, count(*) AS n_rows, count(*) FILTER ({GAP}) AS gaps,
-  count(*) FILTER (NOT {GAP} AND letter <> lower(letter)) AS uppers, count(*) FILTER (NOT {GAP} AND letter <> upper(letter)) AS lowers,
-  count(*) FILTER (letter = '.') AS dots, count(*) FILTER (letter = '-') AS dashes FROM {{}} GROUP BY msa_id, col)"""
-PLACED = "{0}_pos AS (SELECT *, sum(CASE WHEN " + GAP + " THEN 0 ELSE 1 END) OVER (PARTITION BY msa_id, seq_id ORDER BY col) AS n FROM {0})"
-
+from sparkloom.plans.registry import ALPHABET, COUNTS, GAP, PLACED, QUERIES, SQL, N, R, longs, query, rounded
 
 # Sequence sets
 
@@ -649,3 +611,6 @@ def greedy_clusters(spark, sf):
 @query()
 def super5_alignment(spark, sf):
     return align.divide_and_conquer(_families(spark, sf), 0.7)
+
+
+from sparkloom.plans import more_queries  # noqa: E402, F401  registers the rest
