@@ -122,9 +122,10 @@ def aligned_lines(docs: DataFrame, least_words: int) -> DataFrame:
                 )
 
     lines = materialize(docs.mapInArrow(keys, "doc_id long, text_id long, place int, key long"))
-    first = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # What is aggregated is written before it is joined, so that adaptive execution can split a hot key.
+    first = materialize(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     shared = materialize(lines.join(first, "key"))
-    early = shared.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early"))
+    early = materialize(shared.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early")))
     later = shared.where("doc_id > first").join(early, "key").select(*row, "first", "place", "key", "early")
     gone = later.repartition(*row).sortWithinPartitions(*row, "first", "place").mapInArrow(_removed, "doc_id long, text_id long, place int")
     placed = gone.groupBy(*row).agg(F.array_sort(F.collect_set("place")).alias("s"))

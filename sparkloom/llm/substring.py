@@ -109,15 +109,17 @@ def _regroup(run, rows: int = 1 << 17):
 def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(doc_id, text_id, starts, stops): spans of words under windows that also start earlier; null: the whole text.
 
-    docs: (doc_id long without nulls, text binary, text_id long).
+    docs: (doc_id long without nulls, text binary, text_id long). What is aggregated by a key is
+    written before it is joined: both sides of a join are then plain exchanges, of which adaptive
+    execution splits the partition of a hot key.
     """
     row, given = ["doc_id", "text_id"], docs.where("text is not null")
     digests = given.select(*row, F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     copies = materialize(digests.join(first, "digest").where("doc_id > first").select(*row).distinct())
 
     found = given.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, text_id long, place int")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = materialize(found.join(shared, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")).join(copies, row, "left_anti"))
     windows = materialize(
         given.join(places, row)
@@ -125,7 +127,9 @@ def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
         .mapInArrow(_regroup(_windows(width, gram)), "window long, doc_id long, text_id long, start int")
     )
     drop_materialized(places)
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    drop_materialized(shared)
+    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n"))
+    earliest = materialize(earliest.where("n > 1").drop("n"))
     later = windows.join(earliest, "window").where("struct(doc_id, text_id, start) > first").groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("s"))
     spans = later.select(
         *row,
@@ -135,6 +139,7 @@ def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     null = F.lit(None).cast("array<int>")
     flagged = materialize(spans.unionByName(copies.select(*row, null.alias("starts"), null.alias("stops"))))
     drop_materialized(windows)
+    drop_materialized(earliest)
     return flagged
 
 
