@@ -21,7 +21,7 @@ from sparkloom.llm.bpe import byte_letters
 from sparkloom.llm.common import small_batches
 
 #: Words and parts that are remembered.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Tokens that are packed together, which bounds memory.
 TOGETHER = 1 << 20
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
