@@ -119,11 +119,15 @@ def assign(lengths: list[int], room: int, linear: float = 1.0, quadratic: float
     left = [room] * len(open_)
     heap = [(0.0, s) for s in range(len(open_))]
     over: list[tuple[int, int, int]] = []
+    # Sequences too full for the part at hand wait by their room; parts get no longer, so each returns once they are short enough.
+    full_ones: list[tuple[int, float, int]] = []
     for part in parts:
-        passed = []
-        while heap and left[heap[0][1]] < part[2] and len(passed) < 16:
-            passed.append(heapq.heappop(heap))
-        if heap and left[heap[0][1]] >= part[2]:
+        while full_ones and -full_ones[0][0] >= part[2]:
+            heapq.heappush(heap, heapq.heappop(full_ones)[1:])
+        while heap and left[heap[0][1]] < part[2]:
+            cost, s = heapq.heappop(heap)
+            heapq.heappush(full_ones, (-left[s], cost, s))
+        if heap:
             cost, s = heapq.heappop(heap)
             open_[s].append(part)
             left[s] -= part[2]
@@ -131,10 +135,8 @@ def assign(lengths: list[int], room: int, linear: float = 1.0, quadratic: float
                 heapq.heappush(heap, (cost + linear * part[2] + quadratic * part[2] ** 2, s))
         else:
             over.append(part)
-        for x in passed:
-            heapq.heappush(heap, x)
     over.reverse()
-    for _, s in sorted(heap):
+    for _, s in sorted(heap + [x[1:] for x in full_ones]):
         while left[s]:
             i, at, n = over.pop()
             take = min(n, left[s])

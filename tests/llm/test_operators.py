@@ -286,6 +286,22 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_assignment_cuts_only_what_has_no_room():
+    rng = random.Random(11)
+    lengths = [min(2047, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(1500)]
+    sequences, over = packing.assign(lengths, 2048)
+    n = sum(lengths) // 2048
+    left, cost, place = [2048] * n, [0.0] * n, {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fits = [s for s in range(n) if left[s] >= lengths[i]]
+        if fits:
+            s = place[i] = min(fits, key=lambda s: (cost[s], s))
+            left[s] -= lengths[i]
+            cost[s] += lengths[i] + lengths[i] ** 2 / 2048
+    assert {i: s for s, x in enumerate(sequences) for i, at, m in x if (at, m) == (0, lengths[i]) and i in place} == place
+    assert all(sum(m for _, _, m in x) == 2048 for x in sequences) and sum(m for _, _, m in over) < 2048
+
+
 def test_assignment_balances_costs():
     rng = random.Random(1)
     lengths = [rng.randint(1, 700) for _ in range(400)] + [5000, 4096]
