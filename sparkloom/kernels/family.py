@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
 from sparkloom.kernels import guide, hmm
@@ -87,11 +89,17 @@ def align(seqs: list[str], consistency: int = 2, refine: int = 100, seed: int =
     return [row[s.upper()] for s in seqs]
 
 
+def row_pairs(n: int, m: int, target: int = 2000) -> list[tuple[int, int]]:
+    """All pairs of n and m rows if they are under 3/2 of the target, else `target` different ones drawn by a seeded generator."""
+    if 2 * n * m < 3 * target:
+        return [(i, j) for i in range(n) for j in range(m)]
+    return [divmod(k, m) for k in sorted(random.Random(1).sample(range(n * m), target))]
+
+
 def merge(left: list[str], right: list[str], model: hmm.Model | None = None, most_pairs: int = 2000) -> tuple[list[str], list[str]]:
-    """Two alignments side by side by posteriors of their rows: all pairs, or every k-th beyond most_pairs."""
+    """Two alignments side by side by posteriors of their rows: all pairs, or `most_pairs` drawn by :func:`row_pairs`."""
     m = model or hmm.Model()
-    pairs = [(i, j) for i in range(len(left)) for j in range(len(right))]
-    pairs = pairs[:: max(1, len(pairs) // most_pairs)]
+    pairs = row_pairs(len(left), len(right), most_pairs)
     total = np.zeros((len(left[0]), len(right[0])))
     for i, j in pairs:
         x, y = left[i].replace("-", ""), right[j].replace("-", "")

@@ -168,7 +168,7 @@ def divide_and_conquer(seqs: DataFrame, least: float = 0.7, consistency: int = 2
         blocks = [(list(g["seq_id"]), list(g["row"])) for _, g in sorted(pdf.groupby("part"), key=lambda x: (-len(x[1]), x[0]))]
         ids, rows = blocks[0]
         for other, more in blocks[1:]:
-            a, b = family.merge(rows, more, most_pairs=50)
+            a, b = family.merge(rows, more)
             ids, rows = ids + other, a + b
         return pd.DataFrame({"set_id": key[0], "seq_id": ids, "row": rows})
 

@@ -147,6 +147,14 @@ def test_likelihood_distance_grows():
     assert pairwise.likelihood_distance("A-", "-A") == -1.0
 
 
+def test_merge_pairs_use_all_rows():
+    assert family.row_pairs(59, 50) == [(i, j) for i in range(59) for j in range(50)]
+    for n, m in ((100, 10), (200, 4), (1000, 10), (500, 16)):
+        pairs = family.row_pairs(n, m)
+        assert len(set(pairs)) == len(pairs) == min(n * m, 2000)
+        assert {j for _, j in pairs} == set(range(m)) and len({i for i, _ in pairs}) > 0.8 * n
+
+
 def test_family_keeps_letters_and_duplicates():
     seqs = ["ACDEFGH", "ACDFGH", "acdfgh", "CDEFGHK"]
     rows = family.align(seqs, refine=5)
