@@ -15,6 +15,8 @@ from sparkloom.llm.common import materialize, small_batches, text_id
 
 #: Removed spans below this size go to every executor; beyond it documents are shuffled to them.
 BROADCAST_BYTES = 32 << 20
+#: Earlier holders that a line not yet aligned meets at first, and how many times more in each round.
+GROWTH = 8
 
 
 def line_keys(text: bytes, least_words: int) -> list[int]:
@@ -97,11 +99,53 @@ def _removed(batches):
         yield _rows(flush())
 
 
+def _aligned(batches):
+    """For mapInArrow over (doc_id, text_id, places, keys, theirs): (doc_id, text_id, place) of what is aligned over the lines both have."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, text, places, keys, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            both = set(keys) & set(theirs)
+            mine = [(p, k) for p, k in zip(places, keys, strict=True) if k in both]
+            found = patience([k for k in theirs if k in both], [k for _, k in mine])
+            out += [(doc, text, mine[j][0]) for _, j in found]
+        yield _rows(out)
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_id", "place"])
 
 
+def _with_others(own: DataFrame, lone: DataFrame, left: DataFrame):
+    """What of the lines `left` (doc_id, text_id, place, key) is aligned with any other earlier document that has them, in rounds.
+
+    own: (doc_id, text_id, places, keys), lone: the same by lines. In each round the documents of
+    each line not yet aligned meet GROWTH times as many of its earlier holders as before, dealt by
+    hash, until the line is aligned or all of its holders have been met: nothing is capped.
+    """
+    row = ["doc_id", "text_id"]
+    left = materialize(left)
+    if left.isEmpty():
+        return
+    holders = lone.join(left.select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias("e"), F.col("text_id").alias("e_text"), "key").distinct()
+    holders = materialize(holders)
+    many = holders.groupBy("key").agg(F.ceil(F.count("*") / GROWTH).alias("lots"))
+    holders = materialize(holders.join(many, "key").withColumn("lot", F.pmod(F.xxhash64("e", "e_text"), F.col("lots"))).drop("lots"))
+    last = holders.agg(F.max("lot")).first()[0]
+    theirs = own.select(F.col("doc_id").alias("e"), F.col("text_id").alias("e_text"), F.col("keys").alias("theirs"))
+    low, high = 0, 1
+    while low <= last:
+        met = holders.where((F.col("lot") >= low) & (F.col("lot") < high))
+        pairs = materialize(left.select(*row, "key").distinct().join(met, "key").where("e < doc_id").select(*row, "e", "e_text").distinct())
+        found = pairs.join(theirs, ["e", "e_text"]).join(own, row).select(*row, "places", "keys", "theirs")
+        more = materialize(found.mapInArrow(_aligned, "doc_id long, text_id long, place int").distinct())
+        yield more
+        left = materialize(left.join(more, [*row, "place"], "left_anti"))
+        if left.isEmpty():
+            return
+        low, high = high, high * GROWTH
+
+
 def aligned_lines(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, text_id, starts, stops): spans of lines aligned with an earlier document. docs: (doc_id without nulls, text binary, text_id)."""
     row = ["doc_id", "text_id"]
@@ -125,9 +169,21 @@ def aligned_lines(docs: DataFrame, least_words: int) -> DataFrame:
     # What is aggregated is written before it is joined, so that adaptive execution can split a hot key.
     first = materialize(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     shared = materialize(lines.join(first, "key"))
-    early = materialize(shared.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early")))
-    later = shared.where("doc_id > first").join(early, "key").select(*row, "first", "place", "key", "early")
-    gone = later.repartition(*row).sortWithinPartitions(*row, "first", "place").mapInArrow(_removed, "doc_id long, text_id long, place int")
+    # Documents whose shared lines are the same sequence are one to any other; all but the first of them lose all of it.
+    line = F.array_sort(F.collect_list(F.struct("place", "key")))
+    sequences = materialize(shared.groupBy(*row).agg(line.alias("s")).select(*row, F.col("s.place").alias("places"), F.col("s.key").alias("keys")))
+    classes = materialize(sequences.groupBy("keys").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = materialize(sequences.join(classes, "keys").where("doc_id > class").select(*row))
+    whole = sequences.join(copies, row, "left_semi").select(*row, F.explode("places").alias("place"))
+    own = materialize(sequences.join(copies, row, "left_anti"))
+    lone = materialize(shared.join(copies, row, "left_anti"))
+    early = materialize(lone.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early")))
+    later = materialize(lone.where("doc_id > first"))
+    traced = later.join(early, "key").select(*row, "first", "place", "key", "early")
+    gone = materialize(traced.repartition(*row).sortWithinPartitions(*row, "first", "place").mapInArrow(_removed, "doc_id long, text_id long, place int"))
+    gone = whole.union(gone)
+    for more in _with_others(own, lone, later.join(gone, [*row, "place"], "left_anti").select(*row, "place", "key")):
+        gone = gone.union(more)
     placed = gone.groupBy(*row).agg(F.array_sort(F.collect_set("place")).alias("s"))
     return materialize(
         placed.select(
@@ -144,8 +200,10 @@ def dedup(docs: DataFrame, least_words: int = 3, id_col: str = "doc_id", text_co
     Each line is traced to the earliest document (smallest doc_id) that has it, and a document is
     paired with every document that its lines are traced to. A pair is aligned by patience diff over
     the lines it shares in this way: lines unique in both anchor the alignment. Aligned blocks are
-    removed from the later document. A line pairs a document with one other at most, so pairs are
-    never more than lines, however common a line is, and nothing has to be capped. Lines of fewer
+    removed from the later document. Lines that this leaves (those in another order or more often
+    than in their first holder) are aligned with all other earlier documents that have them, over
+    the lines that both have, until one alignment takes them. Documents with the same sequence of
+    shared lines count as one there, and all but the first lose all of it. Lines of fewer
     than `least_words` words (blank ones too) are shared only together with the line before them.
 
     Null texts stay null with no lines. Rows that repeat a doc_id are one document: each loses what

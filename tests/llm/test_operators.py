@@ -253,6 +253,15 @@ def test_lines(docs, rows, empty):
     assert set(docs.columns) < set(lines.dedup(docs).columns)
 
 
+def test_lines_align_with_later_holders(spark):
+    foot, x, s, t, u, *p = (f"{w} of three words" for w in ("foot", "x", "s", "t", "u", "p", "q", "r", "own", "lone"))
+    second = [p[0], foot, p[1], foot, p[2], t, s]
+    table = [(1, [foot, x, s, t]), (2, second), (3, second), (4, [u, t, s, p[3]]), (5, [t, p[4], s])]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup(spark.createDataFrame([(i, "\n".join(v)) for i, v in table], "doc_id long, text string")).collect()}
+    assert got[1] == table[0][1] and got[3] == [""]
+    assert got[4] == [u, p[3]] and got[5] == [p[4]]
+
+
 def test_patience():
     assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert lines.patience([1, 2], [2, 1]) in ([(0, 1)], [(1, 0)])
