@@ -440,6 +440,22 @@ def test_quality(docs, rows, empty):
     assert quality.rules(empty).count() == 0
 
 
+def test_repetition_rules_reject_beyond_the_base(spark):
+    w = [f"w{i}" for i in range(400)]
+    table = [
+        (1, w[:200]),
+        (2, w[:24] + w[100:152] + w[:24]),  # a passage of 24 % pasted twice
+        (3, [x for k in range(5) for x in w[10 * k : 10 * k + 10] + w[200 + 20 * k : 220 + 20 * k] + w[10 * k : 10 * k + 10]]),  # short ones, half of it
+        (4, w[:15] + w[100:220] + w[:15]),  # a tenth of it, a fifth covered
+        (5, w[:24] + w[100:252] + w[:24]),  # the longest is over a tenth of it
+        (6, w[:22] + w[100:278] + w[:22]),  # 22 of 222
+        (7, [x for k in range(5) for x in w[10 * k : 10 * k + 10] + w[200 + 30 * k : 230 + 30 * k] + w[10 * k : 10 * k + 10]]),  # 10 of 250, 40 % covered
+    ]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in table], "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.rules(df).collect()}
+    assert got == {i: (False, i in (1, 4, 6)) for i, _ in table}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
