@@ -19,11 +19,13 @@ ORDERS = (1, 2, 3)
 LETTER = re.compile(r"[^\W\d_]")
 #: Texts are scored together up to so many characters.
 CHARS = 1 << 19
+#: Labels that a task counts at once, which bounds memory.
+TOGETHER = 128
 
 
 @dataclass
 class Model:
-    """log_prob[bucket, language], one bucket more than BUCKETS that is all zero."""
+    """log_prob[bucket, language] by columns, one bucket more than BUCKETS that is all zero."""
 
     languages: list[str]
     log_prob: np.ndarray
@@ -48,8 +50,8 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, starts
 
 
-def fit(docs: DataFrame, per_language: int = 4000, most_languages: int = 64, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from at most about `per_language` texts of each of the `most_languages` most frequent labels.
+def fit(docs: DataFrame, per_language: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learn from at most about `per_language` texts of each label.
 
     The texts are those whose hashed doc_id falls below the share that the bound leaves, so the same
     rows are taken on every run. Rows with a null text or label teach nothing.
@@ -58,35 +60,41 @@ def fit(docs: DataFrame, per_language: int = 4000, most_languages: int = 64, tex
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text is not null and lang is not null"
     )
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    seen = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in seen)
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0)))
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in seen}
     place = F.expr("pmod(xxhash64(id, 11), 1048576) / 1048576.0")
-    pick = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    number = F.create_map(*(F.lit(x) for pair in enumerate(languages) for x in pair[::-1]))
-    sample = rows.where(place < pick[F.col("lang")]).select(number[F.col("lang")].cast("int").alias("lang"), "text")
+    labels = docs.sparkSession.createDataFrame([(x, i, share[x]) for i, x in enumerate(languages)], "lang string, number int, share double")
+    sample = rows.join(F.broadcast(labels), "lang").where(place < F.col("share")).select(F.col("number").alias("lang"), "text")
     k = len(languages)
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
+
+        def flush():
+            for lang, counts in total.items():
+                used = np.flatnonzero(counts[:BUCKETS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(counts[used])], ["lang", "bucket", "n"]
+                )
+            total.clear()
+
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang not in total and len(total) >= TOGETHER:
+                    yield from flush()
                 held = total.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 for bucket in grams([text])[0]:
                     held += np.bincount(bucket, minlength=BUCKETS + 1)
-        for lang, counts in total.items():
-            used = np.flatnonzero(counts[:BUCKETS])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(counts[used])], ["lang", "bucket", "n"]
-            )
+        yield from flush()
 
     counted = sample.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS, k))
-    counts[counted["bucket"], counted["lang"]] = counted["n"]
-    log_prob = np.zeros((BUCKETS + 1, k))
-    log_prob[:BUCKETS] = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
+    log_prob = np.zeros((BUCKETS + 1, k), order="F")
+    log_prob[counted["bucket"], counted["lang"]] = counted["n"]
+    for column in log_prob.T:
+        column[:BUCKETS] = np.log((column[:BUCKETS] + 0.5) / (column[:BUCKETS].sum() + 0.5 * BUCKETS))
     return Model(languages, log_prob)
 
 
@@ -102,7 +110,7 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
             some.append(todo.pop())
             size += len(texts[some[-1]])
         buckets, starts = grams([texts[i] for i in some])
-        sums = sum(np.stack([np.add.reduceat(column[b], starts) for column in model.log_prob.T.copy()], axis=1) for b in buckets)
+        sums = sum(np.stack([np.add.reduceat(column[b], starts) for column in model.log_prob.T], axis=1) for b in buckets)
         best = sums.argmax(axis=1)
         odds = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         for i, b, o in zip(some, best.tolist(), odds.tolist(), strict=True):
@@ -113,7 +121,7 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced.
 
-    The log-probability matrix (languages x buckets, at most 17 MB) is broadcast. A null text or one
+    The log-probability matrix (languages x buckets, 0.26 MB a label) is broadcast. A null text or one
     without letters is `und` with score 0, and so is all if nothing could be learned.
     """
     small_batches(docs.sparkSession)

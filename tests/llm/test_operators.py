@@ -377,6 +377,15 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    names = [f"l{i:03}" for i in range(150)]
+    letters = {x: "".join(chr(0x4E00 + 20 * i + j) for j in range(20)) for i, x in enumerate(names)}
+    df = spark.createDataFrame([(10 * i + j, letters[x], x) for i, x in enumerate(names) for j in range(2)], "doc_id long, text string, lang string").coalesce(1)
+    model = langid.fit(df)
+    assert model.languages == names
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(df, model).collect())
+
+
 def test_chat(spark):
     import duckdb
 
