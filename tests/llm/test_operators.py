@@ -116,6 +116,27 @@ def test_simhash_of_crowded_drawers(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_simhash_of_overfull_drawers(spark):
+    """A chain in one drawer, each linked to its neighbours only, is found whole however it is cut into blocks."""
+    chain = [(1 << (2 * i)) - 1 for i in range(30)]
+    plan = simhash.Plan(1, 2, (((0,),),))
+    df = spark.createDataFrame([(i, simhash._signed(p)) for i, p in enumerate(chain)], "node long, f0 long")
+    for most in (7, 12, 100):
+        found = connected_components(simhash.links(df, plan, crowd=4, most=most)).collect()
+        assert len(found) == 30 and len({r["component"] for r in found}) == 1
+
+
+def test_crowded_drawers_recall_no_less():
+    plan = simhash.near_plan(0.8)
+    differ = math.acos(1.6 / 1.8) / math.pi
+    recall = []
+    for masks in plan.levels:
+        width = sum(bin(m & (2**64 - 1)).count("1") for m in masks[0])
+        chance = [math.comb(256, d) * differ**d * (1 - differ) ** (256 - d) for d in range(plan.max_bits + 1)]
+        recall.append(sum(p * (1 - (1 - math.comb(256 - d, width) / math.comb(256, width)) ** len(masks)) for d, p in enumerate(chance)))
+    assert recall[1] >= recall[0] > 0.8
+
+
 def test_simhash_of_a_similarity(spark):
     """Near copies of 0.8 and more are mostly found, texts of less than a half never."""
     rng = random.Random(1)
