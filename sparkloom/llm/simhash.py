@@ -39,6 +39,8 @@ class Plan:
     words: int
     max_bits: int
     levels: tuple[tuple[tuple[int, ...], ...], ...]
+    #: The least Jaccard similarity of shingle sets that a link needs besides, if any.
+    similarity: float | None = None
 
 
 def _signed(x: int) -> int:
@@ -77,7 +79,7 @@ def near_plan(similarity: float = 0.8, words: int = 4, drawers: int = 192, bits:
                 mask[i // 64] |= 1 << (i % 64)
             masks.append(tuple(map(_signed, mask)))
         levels.append(tuple(masks))
-    return Plan(words, limit, tuple(levels))
+    return Plan(words, limit, tuple(levels), similarity)
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -106,10 +108,15 @@ def _mixed(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(words: list[bytes], width: int, size: int = 1, repeats: bool = True) -> np.ndarray:
     """`size` unsigned 64-bit words; a bit is set if it is set in over half of the hashes; no word: zero."""
+    return majority(shingle_hashes(words, width) if repeats else [shingle_set(words, width)], size)
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, width)]))
+
+
+def majority(parts, size: int) -> np.ndarray:
     ones, n = np.zeros(64 * size, np.int64), 0
-    parts = list(shingle_hashes(words, width))
-    if not repeats and parts:
-        parts = [np.unique(np.concatenate(parts))]
     for part in parts:
         for at in range(0, len(part), CHUNK):
             h = part[at : at + CHUNK]
@@ -237,6 +244,116 @@ def links(reps: DataFrame, plan: Plan, crowd: int = 512, most: int = 1 << 15) ->
     return found
 
 
+def shingle_sets(docs: DataFrame, plan: Plan, width: int, id_col: str, text_col: str, prints: bool) -> DataFrame:
+    """(doc_id, node, f0, ...), or with its shingles in place of the fingerprint; node is a hash of the set of shingles."""
+    small_batches(docs.sparkSession)
+    size = plan.words
+    names = [f"f{i}" for i in range(size)]
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.lower().split() if t else [], width) for t in batch.column(1).to_pylist()]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            if prints:
+                found = np.array([majority([s], size) for s in sets], np.uint64).reshape(len(sets), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array(found[:, i]) for i in range(size))], ["doc_id", "node", *names])
+            else:
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.ListArray.from_arrays(ends, flat)], ["doc_id", "node", "s"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
+        run, "doc_id long, node long, " + (", ".join(f"{n} long" for n in names) if prints else "s array<long>")
+    )
+
+
+def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float, out: list) -> None:
+    """Append spanning-forest edges of the graph that links sets of at least this Jaccard similarity."""
+    n, sizes = len(nodes), np.array([len(s) for s in sets], np.int64)
+    shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    holder = np.repeat(np.arange(n), sizes)[order]
+    starts, ends = np.searchsorted(ids[order], np.arange(len(shingles) + 1)), np.r_[0, np.cumsum(sizes)]
+    rest = np.ones(n, bool)
+    for root in range(n):
+        frontier = [root] if rest[root] else []
+        rest[root] = False
+        while frontier:
+            at = frontier.pop()
+            if not sizes[at]:
+                continue
+            held = [holder[starts[i] : starts[i + 1]] for i in ids[ends[at] : ends[at + 1]]]
+            common = np.bincount(np.concatenate(held), minlength=n)
+            near = np.flatnonzero(rest & (common >= similarity * (sizes + sizes[at] - common) - 1e-9))
+            rest[near] = False
+            out.extend((nodes[at], nodes[i]) for i in near)
+            frontier.extend(near)
+
+
+def _similar_forests(similarity: float):
+    """For mapInArrow over (key, node, s) sorted by key: the edges of each group."""
+
+    def run(batches):
+        last, nodes, sets = None, [], []
+        for batch in batches:
+            out: list = []
+            for key, node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), strict=True):
+                if key != last:
+                    if len(nodes) > 1:
+                        similar_forest(nodes, sets, similarity, out)
+                    last, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.array(s, np.int64))
+            yield _pairs(out)
+        out = []
+        if len(nodes) > 1:
+            similar_forest(nodes, sets, similarity, out)
+        yield _pairs(out)
+
+    return run
+
+
+def similar_links(found: DataFrame, sets: DataFrame, similarity: float, most: int = 1 << 12) -> DataFrame:
+    """(a, b): edges enough for the components of nodes joined by `found` and at least so similar.
+
+    The edges found are only a forest by bit distance. If some fails, others of its component that
+    the forest left out may hold, so the component's sets are all compared, large ones block
+    against block.
+    """
+    found = materialize(found.distinct())
+    sets = materialize(sets.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    size = F.size(F.array_intersect("s", "t"))
+    pairs = found.join(sets.select(F.col("node").alias("a"), "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    pairs = pairs.select("a", "b", size.alias("n"), (F.size("s") + F.size("t") - size).alias("m"))
+    tried = materialize(pairs.select("a", "b", F.expr(f"n > 0 and n >= {similarity} * m").alias("holds")))
+    good = tried.where("holds").select("a", "b")
+    bad = tried.where("not holds").select(F.col("a").alias("node"))
+    if bad.isEmpty():
+        return good
+    parts = materialize(connected_components(found))
+    again = materialize(parts.join(parts.join(bad, "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("component").alias("key"), "node"))
+    counted = again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "n", "node")
+    rows = in_blocks(counted, most).join(sets, "node").select("key", "node", "s")
+    return good.union(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_forests(similarity), "a long, b long"))
+
+
+def _near_copies(docs: DataFrame, plan: Plan, width: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates for a plan with a similarity; nodes are sets of shingles."""
+    names = [f"f{i}" for i in range(plan.words)]
+    fps = materialize(shingle_sets(docs, plan, width, id_col, text_col, True))
+    reps = materialize(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
+    found = materialize(links(reps.where("least is not null").select("node", *names), plan))
+    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    ids = reps.join(linked, "node", "left_semi").select("least").distinct()
+    key = F.col(id_col).cast("long")
+    some = docs.select(key.alias("least"), F.col(text_col).alias("text")).join(ids, "least", "left_semi")
+    sets = shingle_sets(some, plan, width, "least", "text", False).select("node", "s")
+    groups = connected_components(similar_links(found, sets, plan.similarity)).join(reps.select("node", "least"), "node")
+    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    classes = reps.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(classes, "node").select("doc_id", *names, "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, plan: Plan | None = None, width: int = 3, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -246,8 +363,13 @@ def near_duplicates(
     empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id stay rows
     of their own; a null doc_id never names a component unless all of its component are null. An
     empty table gives an empty result. Other columns of docs are ignored.
+
+    If the plan has a similarity, only documents whose sets of shingles are that similar link, and
+    texts without words only with each other; `repeats` has no effect then.
     """
     plan = plan or exact_plan()
+    if plan.similarity is not None:
+        return _near_copies(docs, plan, width, id_col, text_col)
     names = [f"f{i}" for i in range(plan.words)]
     fps = materialize(fingerprints(docs, plan, width, repeats, id_col, text_col))
     reps = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))

@@ -126,6 +126,38 @@ def test_simhash_of_overfull_drawers(spark):
         assert len(found) == 30 and len({r["component"] for r in found}) == 1
 
 
+def test_near_copies_are_as_similar_as_asked(spark):
+    """Variants below the similarity stay, though their fingerprints are within the limit."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    table, kept, gone = [], 0, 0
+    for i in range(40):
+        w = [word() for _ in range(200)]
+        below, above = list(w), list(w)
+        for k in (20, 60, 100, 140, 180, 195):  # 29 to 30 of 196 shingles each: 0.74
+            below[k] = word()
+        for k in (30, 90):
+            above[k] = word()
+        table += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(below)), (3 * i + 2, " ".join(above))]
+    shingles = {i: set(simhash.shingle_set(t.encode().split(), 5).tolist()) for i, t in table}
+    jaccard = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert all(jaccard(3 * i, 3 * i + 1) < 0.8 < jaccard(3 * i, 3 * i + 2) for i in range(40))
+    found = simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), simhash.near_plan(0.8), width=5, repeats=False).collect()
+    group = {r["doc_id"]: r["component_id"] for r in found}
+    assert all(group[3 * i + 1] == 3 * i + 1 for i in range(40)) and sum(group[3 * i + 2] == 3 * i for i in range(40)) >= 38
+
+
+def test_similar_forest():
+    rng = np.random.default_rng(4)
+    sets = [np.flatnonzero(rng.random(40) < 0.9) for _ in range(40)] + [np.zeros(0, np.int64)] * 2
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))
+    out: list = []
+    simhash.similar_forest(list(range(42)), sets, 0.9, out)
+    assert all(jaccard(a, b) >= 0.9 for a, b in out)
+    want = groups_of(list(range(42)), lambda a, b: jaccard(a, b) >= 0.9)
+    assert len(out) == 42 - len(set(want.values())) > 0
+
+
 def test_crowded_drawers_recall_no_less():
     plan = simhash.near_plan(0.8)
     differ = math.acos(1.6 / 1.8) / math.pi
