@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts that one Arrow batch may hold.
-BATCH_ROWS = 1000
+#: Bytes that one Arrow batch may hold where the session sets no bound; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _folder: dict[str, str] = {}
 
@@ -23,15 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: texts are long, so a batch has few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the memory of a Python worker by the bytes of a batch; a bound that the session has already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _folder:
         _folder[app] = tempfile.mkdtemp(prefix="sparkloom-")
@@ -94,6 +98,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("cur", F.col("node"))
+    if left.isEmpty():
+        return nodes.select("node", F.col("cur").alias("component"))
     turn = 0
     while not left.isEmpty():
         turn += 1
@@ -103,7 +109,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moves = materialize(
             pick.where(F.col("m.p") < order("u")).select("u", F.col("m.v").alias("to"))
         )
-        left = materialize(
+        rest = materialize(
             left.join(moves.select(F.col("u").alias("a"), F.col("to").alias("to_a")), "a", "left")
             .join(moves.select(F.col("u").alias("b"), F.col("to").alias("to_b")), "b", "left")
             .select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
@@ -111,8 +117,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        nodes = materialize(
+        moved = materialize(
             nodes.join(moves.withColumnRenamed("u", "cur"), "cur", "left")
             .select("node", F.coalesce("to", "cur").alias("cur"))
         )
+        for done in (left, moves, nodes if turn > 1 else None):
+            if done is not None:
+                drop_materialized(done)
+        left, nodes = rest, moved
     return nodes.select("node", F.col("cur").alias("component"))

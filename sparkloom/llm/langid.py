@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -16,7 +16,7 @@ from sparkloom.llm.common import small_batches
 #: Buckets of n-grams; one more stands for n-grams across texts and weighs nothing.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Texts are scored together up to so many characters.
 CHARS = 1 << 19
 #: Labels that a task counts at once, which bounds memory.
@@ -50,11 +50,23 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, starts
 
 
+def pieces(text: str):
+    """Buckets of the n-grams of a text of any length, CHARS characters at a time; each n-gram comes once."""
+    more = max(ORDERS) - 1
+    text = text.lower()
+    for at in range(0, len(text), CHARS):
+        part = text[at : at + CHARS + more]
+        for order, bucket in zip(ORDERS, grams([part])[0], strict=True):
+            yield bucket[: min(CHARS, len(text) - at - order + 1)] if len(text) - at >= order else bucket[:0]
+
+
 def fit(docs: DataFrame, per_language: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from at most about `per_language` texts of each label.
 
     The texts are those whose hashed doc_id falls below the share that the bound leaves, so the same
-    rows are taken on every run. Rows with a null text or label teach nothing.
+    rows are taken on every run. Labels have no prior: only the n-grams of a text decide. Rows with a
+    null text or label teach nothing, rows that repeat an id teach each; an empty table gives a model
+    of no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
@@ -86,7 +98,7 @@ def fit(docs: DataFrame, per_language: int = 4000, text_col: str = "text", lang_
                 if lang not in total and len(total) >= TOGETHER:
                     yield from flush()
                 held = total.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                for bucket in grams([text])[0]:
+                for bucket in pieces(text):
                     held += np.bincount(bucket, minlength=BUCKETS + 1)
         yield from flush()
 
@@ -104,6 +116,19 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
     if not model.languages:
         return names, scores
     todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+
+    def settle(some: list[int], sums: np.ndarray) -> None:
+        best = sums.argmax(axis=1)
+        odds = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b, o in zip(some, best.tolist(), odds.tolist(), strict=True):
+            names[i], scores[i] = model.languages[b], 1.0 / o
+
+    for i in [i for i in todo if len(texts[i]) > CHARS]:
+        total = np.zeros(len(model.languages))
+        for bucket in pieces(texts[i]):
+            total += np.array([column[bucket].sum() for column in model.log_prob.T])
+        settle([i], total[None, :])
+    todo = [i for i in todo if len(texts[i]) <= CHARS]
     while todo:
         size, some = 0, []
         while todo and (not some or size + len(texts[todo[-1]]) <= CHARS):
@@ -111,10 +136,7 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
             size += len(texts[some[-1]])
         buckets, starts = grams([texts[i] for i in some])
         sums = sum(np.stack([np.add.reduceat(column[b], starts) for column in model.log_prob.T], axis=1) for b in buckets)
-        best = sums.argmax(axis=1)
-        odds = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, b, o in zip(some, best.tolist(), odds.tolist(), strict=True):
-            names[i], scores[i] = model.languages[b], 1.0 / o
+        settle(some, sums)
     return names, scores
 
 
@@ -122,7 +144,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced.
 
     The log-probability matrix (languages x buckets, 0.26 MB a label) is broadcast. A null text or one
-    without letters is `und` with score 0, and so is all if nothing could be learned.
+    without letters (Unicode categories L) is `und` with score 0, and so is all if nothing could be
+    learned. Ties go to the label that sorts first. Each row is judged by its own text, repeated rows
+    too; a very long text is scored whole, in pieces of bounded size. An empty table gives an empty
+    result.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession

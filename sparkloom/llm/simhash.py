@@ -4,18 +4,15 @@ Two fingerprints that differ in at most ``max_bits`` bits, cut into ``max_bits +
 on k whole blocks at least. So each fingerprint is filed under every choice of k blocks and only
 fingerprints filed together are compared. Fingerprints of a drawer with more than ``crowd`` members
 are filed again under finer choices (more blocks), which leaves fewer free bits: at the last level
-of the exact plan 12 free bits, so at most 4,096 different fingerprints, whatever the input. No
-link is lost, no drawer emits all of its pairs (a spanning forest is enough for components), and
-work stays in proportion to the fingerprints.
+12 free bits, so at most 4,096 different fingerprints, whatever the input. No link is lost, no
+drawer emits all of its pairs (a spanning forest is enough for components), and work stays in
+proportion to the fingerprints.
 
-Wide fingerprints for looser similarities can't be cut this way; ``sampled`` drawers (random sets of
-bits) stand in for the blocks there, with the recall stated in :func:`near_plan`.
+Similarities of shingle sets that bit distance can't decide are the matter of ``near``.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
@@ -34,13 +31,10 @@ CHUNK = 1 << 16
 
 @dataclass(frozen=True)
 class Plan:
-    """How fingerprints of ``words`` 64-bit words are filed: masks by level, from coarse to fine."""
+    """How fingerprints are filed: masks by level, from coarse to fine."""
 
-    words: int
     max_bits: int
-    levels: tuple[tuple[tuple[int, ...], ...], ...]
-    #: The least Jaccard similarity of shingle sets that a link needs besides, if any.
-    similarity: float | None = None
+    levels: tuple[tuple[int, ...], ...]
 
 
 def _signed(x: int) -> int:
@@ -53,33 +47,8 @@ def exact_plan(max_bits: int = 3, blocks: tuple[int, ...] = (5, 8, 16)) -> Plan:
     for n in blocks:
         cuts = [64 * i // n for i in range(n + 1)]
         part = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(n)]
-        levels.append(tuple((_signed(sum(part[i] for i in keep)),) for keep in combinations(range(n), n - max_bits)))
-    return Plan(1, max_bits, tuple(levels))
-
-
-def near_plan(similarity: float = 0.8, words: int = 4, drawers: int = 192, bits: int = 24, seed: int = 7) -> Plan:
-    """Drawers of sampled bits for a Jaccard similarity of shingle sets.
-
-    Sets of like size with Jaccard J have cosine 2J / (1 + J); a SimHash bit differs with
-    probability acos(cosine) / pi: 0.151 at J = 0.8. Of 256 bits that is 39, give or take 6; 8 more
-    are allowed for chance, which nine pairs of ten keep at J = 0.8 and all but one of a hundred at
-    0.85. 192 drawers of 24 bits bring together 90 % of pairs at J = 0.8 and 98 % at 0.85. Two
-    fingerprints that have nothing in common share a drawer by chance once in 87,000. The second
-    level, for crowded drawers only, has finer ones: 576 of 28 bits, which find 88 % of pairs at
-    J = 0.8 together with the bit limit, against 85 % on the first.
-    """
-    rng, n = random.Random(seed), 64 * words
-    limit = int(n * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 2 * words
-    levels = []
-    for count, width in ((drawers, bits), (3 * drawers, bits + 4)):
-        masks = []
-        for _ in range(count):
-            mask = [0] * words
-            for i in rng.sample(range(n), width):
-                mask[i // 64] |= 1 << (i % 64)
-            masks.append(tuple(map(_signed, mask)))
-        levels.append(tuple(masks))
-    return Plan(words, limit, tuple(levels), similarity)
+        levels.append(tuple(_signed(sum(part[i] for i in keep)) for keep in combinations(range(n), n - max_bits)))
+    return Plan(max_bits, tuple(levels))
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -95,63 +64,31 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, len(part) - width + 1)
 
 
-def _mixed(h: np.ndarray, words: int) -> np.ndarray:
-    """h as `words` independent 64-bit columns (the first is h itself)."""
-    out = [h]
-    for i in range(1, words):
-        x = (h + np.uint64((0x9E3779B97F4A7C15 * i) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        out.append(x ^ (x >> np.uint64(29)))
-    return np.stack(out, axis=1)
-
-
-def fingerprint(words: list[bytes], width: int, size: int = 1, repeats: bool = True) -> np.ndarray:
-    """`size` unsigned 64-bit words; a bit is set if it is set in over half of the hashes; no word: zero."""
-    return majority(shingle_hashes(words, width) if repeats else [shingle_set(words, width)], size)
-
-
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, width)]))
+def fingerprint(words: list[bytes], width: int) -> int:
+    """Unsigned; a bit is set if it is set in over half of the hashes; no word: zero."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(words, width):
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def majority(parts, size: int) -> np.ndarray:
-    ones, n = np.zeros(64 * size, np.int64), 0
-    for part in parts:
-        for at in range(0, len(part), CHUNK):
-            h = part[at : at + CHUNK]
-            mixed = h if size == 1 else _mixed(h, size)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int32)
-            n += len(h)
-    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
-
-
-def fingerprints(docs: DataFrame, plan: Plan, width: int, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0) for every row; a null text counts as empty."""
     small_batches(docs.sparkSession)
-    size = plan.words
-    names = [f"f{i}" for i in range(size)]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = np.zeros((len(texts), size), np.uint64)
-            for i, text in enumerate(texts):
-                if text:
-                    out[i] = fingerprint(text.lower().split(), width, size, repeats)
-            signed = out.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed[:, i]) for i in range(size))], ["doc_id", *names])
+            found = np.array([fingerprint(t.lower().split(), width) if t else 0 for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "f0"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, f0 long")
 
 
 def forest(nodes: np.ndarray, fps: np.ndarray, max_bits: int, out: list) -> None:
     """Append spanning-forest edges of the graph that links rows of fps at most max_bits apart."""
     if len(nodes) == 2:
-        if np.bitwise_count(fps[0] ^ fps[1]).sum() <= max_bits:
+        if np.bitwise_count(fps[0] ^ fps[1]) <= max_bits:
             out.append((nodes[0], nodes[1]))
         return
     rest = np.arange(len(nodes))
@@ -159,38 +96,24 @@ def forest(nodes: np.ndarray, fps: np.ndarray, max_bits: int, out: list) -> None
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             at = frontier.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1, dtype=np.int32) <= max_bits
+            near = np.bitwise_count(fps[rest] ^ fps[at]) <= max_bits
             found, rest = rest[near], rest[~near]
             out.extend((nodes[at], nodes[i]) for i in found)
             frontier.extend(found)
 
 
-def in_blocks(rows: DataFrame, most: int) -> DataFrame:
-    """rows (key, n, ...) with groups over `most` rows dealt to pairs of blocks, under a key for each pair; n is dropped.
-
-    Any two rows of a group meet under some key, so the edges of spanning forests of all keys
-    connect what those of whole groups would.
-    """
-    small = rows.where(F.col("n") <= most).drop("n")
-    blocks = F.ceil(2 * F.col("n") / most).cast("int")
-    large = rows.where(F.col("n") > most).withColumn("__all", blocks)
-    large = large.withColumn("__own", F.expr("cast(pmod(xxhash64(node, 5), __all) as int)")).withColumn("__other", F.explode(F.expr("sequence(0, __all - 1)")))
-    large = large.where("__own <> __other").withColumn("key", F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other")))
-    return small.union(large.drop("n", "__all", "__own", "__other").select(*small.columns))
-
-
 def _forests(plan: Plan):
     """For mapInArrow over rows sorted by drawer: the edges of each drawer."""
 
     def run(batches):
         key = np.zeros(0, np.int64)
         node = np.zeros(0, np.int64)
-        fps = np.zeros((0, plan.words), np.uint64)
+        fps = np.zeros(0, np.uint64)
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             key = np.concatenate([key, cols[0]])
             node = np.concatenate([node, cols[1]])
-            fps = np.concatenate([fps, np.stack(cols[2:], axis=1).view(np.uint64)])
+            fps = np.concatenate([fps, cols[2].view(np.uint64)])
             ends = np.flatnonzero(np.diff(key)) + 1
             out: list = []
             start = 0
@@ -213,26 +136,22 @@ def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
-def links(reps: DataFrame, plan: Plan, crowd: int = 512, most: int = 1 << 15) -> DataFrame:
+def links(reps: DataFrame, plan: Plan, crowd: int = 512) -> DataFrame:
     """(a, b): edges between nodes whose fingerprints are at most max_bits apart, enough for components.
 
-    reps: (node, f0, ...), one row for each different fingerprint. Drawers of the last level over
-    `most` rows are compared block against block.
+    reps: (node, f0), one row for each different fingerprint.
     """
-    names = [f"f{i}" for i in range(plan.words)]
     tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for level, masks in enumerate(plan.levels):
         last = level == len(plan.levels) - 1
-        mask = F.explode(F.array(*(F.struct(*(F.lit(m).cast("long").alias(f"m{i}") for i, m in enumerate(x))) for x in masks)))
+        mask = F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))
         # Filing makes a row for each mask, so the few files of reps are dealt to all tasks first.
-        filed = reps.repartition(tasks, "node").select("node", *names, mask.alias("m")).select(
-            F.xxhash64(*(F.col(f"m.m{i}") for i in range(plan.words)), *(F.col(f"f{i}").bitwiseAND(F.col(f"m.m{i}")) for i in range(plan.words))).alias("key"), "node"
-        )
+        filed = reps.repartition(tasks, "node").select("node", "f0", mask.alias("m")).select(F.xxhash64("m", F.col("f0").bitwiseAND(F.col("m"))).alias("key"), "node")
         counts = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         shared = materialize(filed.join(counts, "key"))
         members = shared if last else shared.where(F.col("n") <= crowd)
-        rows = in_blocks(members.select("key", "node", "n"), most).join(reps, "node").select("key", "node", *names)
+        rows = members.select("key", "node").join(reps, "node").select("key", "node", "f0")
         edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(plan), "a long, b long")
         found = edges if found is None else found.union(edges)
         if last:
@@ -244,141 +163,22 @@ def links(reps: DataFrame, plan: Plan, crowd: int = 512, most: int = 1 << 15) ->
     return found
 
 
-def shingle_sets(docs: DataFrame, plan: Plan, width: int, id_col: str, text_col: str, prints: bool) -> DataFrame:
-    """(doc_id, node, f0, ...), or with its shingles in place of the fingerprint; node is a hash of the set of shingles."""
-    small_batches(docs.sparkSession)
-    size = plan.words
-    names = [f"f{i}" for i in range(size)]
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.lower().split() if t else [], width) for t in batch.column(1).to_pylist()]
-            node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
-            if prints:
-                found = np.array([majority([s], size) for s in sets], np.uint64).reshape(len(sets), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array(found[:, i]) for i in range(size))], ["doc_id", "node", *names])
-            else:
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.ListArray.from_arrays(ends, flat)], ["doc_id", "node", "s"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, node long, " + (", ".join(f"{n} long" for n in names) if prints else "s array<long>")
-    )
-
-
-def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float, out: list) -> None:
-    """Append spanning-forest edges of the graph that links sets of at least this Jaccard similarity."""
-    n, sizes = len(nodes), np.array([len(s) for s in sets], np.int64)
-    shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    holder = np.repeat(np.arange(n), sizes)[order]
-    starts, ends = np.searchsorted(ids[order], np.arange(len(shingles) + 1)), np.r_[0, np.cumsum(sizes)]
-    rest = np.ones(n, bool)
-    for root in range(n):
-        frontier = [root] if rest[root] else []
-        rest[root] = False
-        while frontier:
-            at = frontier.pop()
-            if not sizes[at]:
-                continue
-            held = [holder[starts[i] : starts[i + 1]] for i in ids[ends[at] : ends[at + 1]]]
-            common = np.bincount(np.concatenate(held), minlength=n)
-            near = np.flatnonzero(rest & (common >= similarity * (sizes + sizes[at] - common) - 1e-9))
-            rest[near] = False
-            out.extend((nodes[at], nodes[i]) for i in near)
-            frontier.extend(near)
-
-
-def _similar_forests(similarity: float):
-    """For mapInArrow over (key, node, s) sorted by key: the edges of each group."""
-
-    def run(batches):
-        last, nodes, sets = None, [], []
-        for batch in batches:
-            out: list = []
-            for key, node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), strict=True):
-                if key != last:
-                    if len(nodes) > 1:
-                        similar_forest(nodes, sets, similarity, out)
-                    last, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(np.array(s, np.int64))
-            yield _pairs(out)
-        out = []
-        if len(nodes) > 1:
-            similar_forest(nodes, sets, similarity, out)
-        yield _pairs(out)
-
-    return run
-
-
-def similar_links(found: DataFrame, sets: DataFrame, similarity: float, most: int = 1 << 12) -> DataFrame:
-    """(a, b): edges enough for the components of nodes joined by `found` and at least so similar.
-
-    The edges found are only a forest by bit distance. If some fails, others of its component that
-    the forest left out may hold, so the component's sets are all compared, large ones block
-    against block.
-    """
-    found = materialize(found.distinct())
-    sets = materialize(sets.join(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    size = F.size(F.array_intersect("s", "t"))
-    pairs = found.join(sets.select(F.col("node").alias("a"), "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    pairs = pairs.select("a", "b", size.alias("n"), (F.size("s") + F.size("t") - size).alias("m"))
-    tried = materialize(pairs.select("a", "b", F.expr(f"n > 0 and n >= {similarity} * m").alias("holds")))
-    good = tried.where("holds").select("a", "b")
-    bad = tried.where("not holds").select(F.col("a").alias("node"))
-    if bad.isEmpty():
-        return good
-    parts = materialize(connected_components(found))
-    again = materialize(parts.join(parts.join(bad, "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("component").alias("key"), "node"))
-    counted = again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "n", "node")
-    rows = in_blocks(counted, most).join(sets, "node").select("key", "node", "s")
-    return good.union(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_forests(similarity), "a long, b long"))
-
-
-def _near_copies(docs: DataFrame, plan: Plan, width: int, id_col: str, text_col: str) -> DataFrame:
-    """near_duplicates for a plan with a similarity; nodes are sets of shingles."""
-    names = [f"f{i}" for i in range(plan.words)]
-    fps = materialize(shingle_sets(docs, plan, width, id_col, text_col, True))
-    reps = materialize(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    found = materialize(links(reps.where("least is not null").select("node", *names), plan))
-    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    ids = reps.join(linked, "node", "left_semi").select("least").distinct()
-    key = F.col(id_col).cast("long")
-    some = docs.select(key.alias("least"), F.col(text_col).alias("text")).join(ids, "least", "left_semi")
-    sets = shingle_sets(some, plan, width, "least", "text", False).select("node", "s")
-    groups = connected_components(similar_links(found, sets, plan.similarity)).join(reps.select("node", "least"), "node")
-    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    classes = reps.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(classes, "node").select("doc_id", *names, "component_id")
-
-
-def near_duplicates(
-    docs: DataFrame, plan: Plan | None = None, width: int = 3, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, f0, ..., component_id): one row for each row of docs.
+def near_duplicates(docs: DataFrame, plan: Plan | None = None, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0, component_id): one row for each row of docs.
 
     component_id is the smallest doc_id that links reach, the document's own included. Null and
-    empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id stay rows
-    of their own; a null doc_id never names a component unless all of its component are null. An
-    empty table gives an empty result. Other columns of docs are ignored.
-
-    If the plan has a similarity, only documents whose sets of shingles are that similar link, and
-    texts without words only with each other; `repeats` has no effect then.
+    empty texts have fingerprint zero and link like any other. Very long texts are hashed in chunks.
+    Rows that repeat a doc_id stay rows of their own; a null doc_id never names a component unless
+    all of its component are null. An empty table gives an empty result. Other columns of docs are
+    ignored.
     """
-    plan = plan or exact_plan()
-    if plan.similarity is not None:
-        return _near_copies(docs, plan, width, id_col, text_col)
-    names = [f"f{i}" for i in range(plan.words)]
-    fps = materialize(fingerprints(docs, plan, width, repeats, id_col, text_col))
-    reps = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    known = reps.where("node is not null")
-    groups = connected_components(links(known, plan))
+    fps = materialize(fingerprints(docs, width, id_col, text_col))
+    reps = materialize(fps.groupBy("f0").agg(F.min("doc_id").alias("node")))
+    groups = connected_components(links(reps.where("node is not null"), plan or exact_plan()))
     least = groups.groupBy("component").agg(F.min("node").alias("component_id"))
     named = groups.join(least, "component").select("node", "component_id")
-    classes = reps.join(named, "node", "left").select(*names, F.coalesce("component_id", "node").alias("component_id"))
-    return fps.join(classes, names)
+    classes = reps.join(named, "node", "left").select("f0", F.coalesce("component_id", "node").alias("component_id"))
+    return fps.join(classes, "f0").select("doc_id", "f0", "component_id")
 
 
 def fingerprint_hex(col: str = "f0"):

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, langid, lines, packing, pii, quality, simhash, substring, topk
+from sparkloom.llm import bpe, chat, langid, lines, near, packing, pii, quality, simhash, substring, topk
 from sparkloom.llm.common import connected_components
 from sparkloom.llm.queries import oracle_sql, queries, tokenizer_path
 
@@ -116,76 +116,64 @@ def test_simhash_of_crowded_drawers(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
-def test_simhash_of_overfull_drawers(spark):
-    """A chain in one drawer, each linked to its neighbours only, is found whole however it is cut into blocks."""
-    chain = [(1 << (2 * i)) - 1 for i in range(30)]
-    plan = simhash.Plan(1, 2, (((0,),),))
-    df = spark.createDataFrame([(i, simhash._signed(p)) for i, p in enumerate(chain)], "node long, f0 long")
-    for most in (7, 12, 100):
-        found = connected_components(simhash.links(df, plan, crowd=4, most=most)).collect()
-        assert len(found) == 30 and len({r["component"] for r in found}) == 1
-
-
-def test_near_copies_are_as_similar_as_asked(spark):
-    """Variants below the similarity stay, though their fingerprints are within the limit."""
+def varied(rng, w, least, word):
+    """A copy of the words whose set of five-word shingles is just at or above a similarity, and how similar it is."""
+    shingles = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    own, v, j = shingles(w), list(w), 1.0
+    for at in rng.sample(range(len(w)), len(w)):
+        u = list(v)
+        u[at] = word()
+        now = len(own & shingles(u)) / len(own | shingles(u))
+        if now >= least:
+            v, j = u, now
+            if j < least + 0.01:
+                break
+    return v, j
+
+
+@pytest.mark.parametrize("together", [near.TOGETHER, 300])
+def test_near_copies_are_found_and_others_are_not(spark, together):
+    """All pairs at 0.8 are found, none below, in drawers of few and in a group of many, compared whole or in blocks."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    table, kept, gone = [], 0, 0
-    for i in range(40):
-        w = [word() for _ in range(200)]
-        below, above = list(w), list(w)
-        for k in (20, 60, 100, 140, 180, 195):  # 29 to 30 of 196 shingles each: 0.74
-            below[k] = word()
-        for k in (30, 90):
-            above[k] = word()
-        table += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(below)), (3 * i + 2, " ".join(above))]
-    shingles = {i: set(simhash.shingle_set(t.encode().split(), 5).tolist()) for i, t in table}
-    jaccard = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-    assert all(jaccard(3 * i, 3 * i + 1) < 0.8 < jaccard(3 * i, 3 * i + 2) for i in range(40))
-    found = simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), simhash.near_plan(0.8), width=5, repeats=False).collect()
-    group = {r["doc_id"]: r["component_id"] for r in found}
-    assert all(group[3 * i + 1] == 3 * i + 1 for i in range(40)) and sum(group[3 * i + 2] == 3 * i for i in range(40)) >= 38
-
-
-def test_similar_forest():
+    table, at, low = [], [], 0
+    for i in range(120):
+        w = [word() for _ in range(rng.choice([40, 120, 400]))]
+        v, j = varied(rng, w, 0.8, word)
+        u, below = varied(rng, w, 0.7, word)
+        low += below < 0.8
+        table += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(v)), (3 * i + 2, " ".join(u))]
+        at.append(j)
+    base = [word() for _ in range(100)]
+    table += [(1000 + i, " ".join(varied(rng, base, 0.85, word)[0])) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in table}
+    want = groups_of([i for i, _ in table], lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]))
+    got = {r["doc_id"]: r["component_id"] for r in near.similar_groups(df, together=together).collect()}
+    assert sum(j < 0.83 for j in at) > 60 and low > 60
+    assert got == want
+
+
+def test_near_forest():
     rng = np.random.default_rng(4)
     sets = [np.flatnonzero(rng.random(40) < 0.9) for _ in range(40)] + [np.zeros(0, np.int64)] * 2
     jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))
-    out: list = []
-    simhash.similar_forest(list(range(42)), sets, 0.9, out)
-    assert all(jaccard(a, b) >= 0.9 for a, b in out)
-    want = groups_of(list(range(42)), lambda a, b: jaccard(a, b) >= 0.9)
-    assert len(out) == 42 - len(set(want.values())) > 0
-
-
-def test_crowded_drawers_recall_no_less():
-    plan = simhash.near_plan(0.8)
-    differ = math.acos(1.6 / 1.8) / math.pi
-    recall = []
-    for masks in plan.levels:
-        width = sum(bin(m & (2**64 - 1)).count("1") for m in masks[0])
-        chance = [math.comb(256, d) * differ**d * (1 - differ) ** (256 - d) for d in range(plan.max_bits + 1)]
-        recall.append(sum(p * (1 - (1 - math.comb(256 - d, width) / math.comb(256, width)) ** len(masks)) for d, p in enumerate(chance)))
-    assert recall[1] >= recall[0] > 0.8
-
-
-def test_simhash_of_a_similarity(spark):
-    """Near copies of 0.8 and more are mostly found, texts of less than a half never."""
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    table, pairs = [], 0
-    for i in range(60):
-        w = [word() for _ in range(300)]
-        near, far = list(w), list(w)
-        near[150] = word()
-        for k in range(0, 300, 8):
-            far[k] = word()
-        table += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
-        pairs += 1
-    found = simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), simhash.near_plan(0.8), width=5, repeats=False).collect()
-    group = {r["doc_id"]: r["component_id"] for r in found}
-    assert sum(group[3 * i] == group[3 * i + 1] for i in range(60)) >= 59
-    assert all(group[3 * i + 2] == 3 * i + 2 for i in range(60))
+    for parts in (list(range(42)), [i // 2 for i in range(42)]):
+        out: list = []
+        near.forest(list(range(42)), parts, sets, 0.9, out)
+        assert all(jaccard(a, b) >= 0.9 for a, b in out)
+        want = groups_of(list(range(42)), lambda a, b: jaccard(a, b) >= 0.9 or parts[a] == parts[b])  # noqa: B023
+        assert len(out) == len(set(parts)) - len(set(want.values())) > 0
+
+
+def test_one_of_each_row(spark, empty):
+    t, own = "alpha beta gamma delta epsilon zeta", "unique text of five words here"
+    table = [(3, t, 1), (5, own, 2), (5, t, 3), (7, "seven same row of words", 4), (7, "seven same row of words", 4), (None, t, 5), (None, own.upper(), 6), (8, None, 7), (9, " ", 8), (10, "a b", 9), (11, "a c", 9)]
+    df = spark.createDataFrame(table, "doc_id long, text string, size int").withColumn("digest", F.col("text"))
+    got = sorted(tuple(r)[:3] for r in near.one_of_each(df).collect())
+    assert got == sorted([table[0], table[1], table[3], table[7], table[9], table[10]])
+    assert near.one_of_each(df).columns == df.columns
+    assert near.one_of_each(empty).count() == 0
 
 
 def test_substring(docs, rows, empty):
