@@ -7,11 +7,10 @@ import random
 import numpy as np
 
 from sparkloom.kernels import guide, hmm
-from sparkloom.kernels.scores import encode
 
 
 def posteriors(seqs: list[str], model: hmm.Model) -> dict[tuple[int, int], np.ndarray]:
-    coded = [encode(s) for s in seqs]
+    coded = [model.code(s) for s in seqs]
     return {(i, j): hmm.posterior(coded[i], coded[j], model).astype(np.float32) for i in range(len(seqs)) for j in range(i + 1, len(seqs))}
 
 
@@ -70,13 +69,21 @@ def align(seqs: list[str], consistency: int = 2, refine: int = 100, seed: int =
         width = max(map(len, seqs), default=0)
         return [s.upper().ljust(width, "-") for s in seqs]
     post = posteriors(unique, (model or hmm.Model()).perturbed(seed))
+    whole = assemble(post, [len(s) for s in unique], consistency, refine, seed, perm)
+    row = {unique[i]: "".join(unique[i][p] if p >= 0 else "-" for p in r) for i, r in zip(whole.ids, whole.rows.tolist(), strict=True)}
+    return [row[s.upper()] for s in seqs]
+
+
+def assemble(post: dict[tuple[int, int], np.ndarray], lengths: list[int], consistency: int = 2, refine: int = 100, seed: int = 0, perm: str = "none") -> Block:
+    """The alignment of sequences of these lengths from the posteriors of all pairs (i < j)."""
+    n = len(lengths)
     d = np.zeros((n, n))
     for (i, j), p in post.items():
         d[i, j] = d[j, i] = 1 - hmm.expected_accuracy(p)
     joins = guide.permuted(guide.agglomerate(d), n, perm)
     for _ in range(consistency if n > 2 else 0):
         post = relax(post, n)
-    blocks = [Block([i], np.arange(len(s))[None, :]) for i, s in enumerate(unique)]
+    blocks = [Block([i], np.arange(k)[None, :]) for i, k in enumerate(lengths)]
     for a, b, _ in joins:
         blocks.append(join(blocks[a], blocks[b], post))
     whole = blocks[-1]
@@ -85,8 +92,7 @@ def align(seqs: list[str], consistency: int = 2, refine: int = 100, seed: int =
         side = {i for i in range(n) if rng.integers(2)}
         if 0 < len(side) < n:
             whole = join(whole.kept(side), whole.kept(set(range(n)) - side), post)
-    row = {unique[i]: "".join(unique[i][p] if p >= 0 else "-" for p in r) for i, r in zip(whole.ids, whole.rows.tolist(), strict=True)}
-    return [row[s.upper()] for s in seqs]
+    return whole
 
 
 def row_pairs(n: int, m: int, target: int = 2000) -> list[tuple[int, int]]:

@@ -5,24 +5,48 @@ The recurrences run over anti-diagonals, all cells of one at a time, in scaled p
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 
-from sparkloom.kernels.scores import encode, joint
+from sparkloom.kernels.scores import LETTERS, NUCLEOTIDES, encode, given, joint
 
 LEAST = 0.01
 
 
 @dataclass(frozen=True)
 class Model:
-    """Transition probabilities; start of a match, opening and extending short and long inserts."""
+    """Transition probabilities: starts of a match, a short and a long insert, opening and extending inserts.
 
-    start: float = 0.68
+    emit: (joint, single) probabilities of letters, by default those of the alphabet.
+    """
+
+    # The defaults of the model, for amino acids and nucleotides alike.
+    start: float = 0.6
+    start_short: float = 0.02
+    start_long: float = 0.18
     open_short: float = 0.012
     open_long: float = 0.008
-    extend_short: float = 0.4
+    extend_short: float = 0.35
     extend_long: float = 0.9
+    nucleotides: bool = False
+    emit: tuple | None = None
+
+    @staticmethod
+    def of(parameters: dict[str, float], nucleotides: bool = False) -> Model:
+        """From the named probabilities of a model file; what it lacks keeps its default."""
+        named = {"START_M": "start", "START_IS": "start_short", "START_IL": "start_long", "M_IS": "open_short", "M_IL": "open_long", "IS_IS": "extend_short", "IL_IL": "extend_long"}
+        found = {field: parameters[f"T.{name}"] for name, field in named.items() if f"T.{name}" in parameters}
+        emit = given(parameters, NUCLEOTIDES if nucleotides else LETTERS) if any(k.startswith("E.") for k in parameters) else None
+        return Model(**found, nucleotides=nucleotides, emit=emit)
+
+    def single_affine(self) -> Model:
+        """Both kinds of inserts alike, with the means of their probabilities."""
+        start, open_, extend = (self.start_short + self.start_long) / 2, (self.open_short + self.open_long) / 2, (self.extend_short + self.extend_long) / 2
+        return replace(self, start_short=start, start_long=start, open_short=open_, open_long=open_, extend_short=extend, extend_long=extend)
+
+    def code(self, seq: str) -> np.ndarray:
+        return encode(seq, NUCLEOTIDES if self.nucleotides else LETTERS)
 
     def perturbed(self, seed: int, most: float = 0.25) -> Model:
         """Each parameter times 1 - most .. 1 + most in steps of 0.01; seed 0 changes nothing."""
@@ -30,28 +54,30 @@ class Model:
             return self
         rng = np.random.default_rng(seed)
         steps = int(100 * most)
-        return replace(self, **{k: min(0.95, v * (1 + rng.integers(-steps, steps + 1) / 100)) for k, v in vars(self).items()})
+        moved = {f.name: getattr(self, f.name) * (1 + rng.integers(-steps, steps + 1) / 100) for f in fields(self) if f.type == "float"}
+        total = moved["start"] + 2 * moved["start_short"] + 2 * moved["start_long"]
+        moved |= {k: moved[k] / total for k in ("start", "start_short", "start_long")} | {k: min(0.95, moved[k]) for k in ("extend_short", "extend_long")}
+        return replace(self, **moved)
 
 
 def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Start and transition probabilities over the states M, IX, IY, JX, JY."""
     s, l = model.open_short, model.open_long  # noqa: E741
-    rest = (1 - model.start) / 4
     t = np.zeros((5, 5))
     t[0] = [1 - 2 * s - 2 * l, s, s, l, l]
     for k, e in ((1, model.extend_short), (2, model.extend_short), (3, model.extend_long), (4, model.extend_long)):
         t[k, k], t[k, 0] = e, 1 - e
-    return np.array([model.start, rest, rest, rest, rest]), t
+    return np.array([model.start, model.start_short, model.start_short, model.start_long, model.start_long]), t
 
 
-def emissions(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pair, single = joint()
+def emissions(x: np.ndarray, y: np.ndarray, model: Model = Model()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pair, single = model.emit or joint(model.nucleotides)
     return pair[np.ix_(x, y)], single[x], single[y]
 
 
 def posterior(x: np.ndarray, y: np.ndarray, model: Model = Model(), emit=None) -> np.ndarray:
     """The probability of each pair of places to be aligned. emit: (match, insert x, insert y) to use instead of letters'."""
-    match, ex, ey = emissions(x, y) if emit is None else emit
+    match, ex, ey = emissions(x, y, model) if emit is None else emit
     n, m = match.shape
     if not n or not m:
         return np.zeros((n, m))
@@ -138,4 +164,4 @@ def expected_accuracy(p: np.ndarray) -> float:
 
 
 def pair_posterior(x: str, y: str, model: Model = Model()) -> np.ndarray:
-    return posterior(encode(x), encode(y), model)
+    return posterior(model.code(x), model.code(y), model)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions.letters import kimura
+from sparkloom.functions.letters import DAYHOFF_PAMS, kimura
 from sparkloom.operators import ensemble, kmers, msa, posterior, profile, score, sequences, trees
 from sparkloom.plans import align
 from sparkloom.plans import stand_ins as s
@@ -242,10 +242,17 @@ def pairwise_identity(spark, sf):
     return rounded(p.select("msa_id", "a", "b", F.when(F.col("both") > 0, 100.0 * F.col("same") / F.col("both")).alias("percent")), "percent")
 
 
-@query(
-    f"""WITH {s.TEST}, {IDENTITY}, f AS (SELECT *, 1 - same::DOUBLE / either_ AS p FROM ident) SELECT msa_id, a, b,
-  {R("CASE WHEN p > 0.93 THEN 10.0 WHEN p < 0.75 THEN -ln(1 - p - p * p / 5) ELSE 2.0 + (p - 0.75) * 44.0 END")} AS d FROM f"""
-)
+KIMURA = f"CASE WHEN p > 0.93 THEN 10.0 WHEN p < 0.75 THEN -ln(1 - p - p * p / 5) ELSE ({DAYHOFF_PAMS})[CAST(floor((p - 0.75) * 1000 + 0.5) AS INTEGER) + 1] / 100.0 END"
+
+
+@query(f"SELECT CAST(k AS BIGINT) AS thousandths, {R(KIMURA)} AS d FROM (SELECT DISTINCT p_partkey % 1001 AS k, (p_partkey % 1001) / 1000.0::DOUBLE AS p FROM part)")
+def kimura_curve(spark, sf):
+    """The correction at each thousandth."""
+    k = s.table(spark, sf, "part").select((F.col("p_partkey") % 1001).cast("bigint").alias("thousandths")).distinct()
+    return rounded(k.select("thousandths", kimura(F.col("thousandths") / 1000.0).alias("d")), "d")
+
+
+@query(f"WITH {s.TEST}, {IDENTITY}, f AS (SELECT *, 1 - same::DOUBLE / either_ AS p FROM ident) SELECT msa_id, a, b, {R(KIMURA)} AS d FROM f")
 def kimura_distance(spark, sf):
     p = msa.row_pairs(s.cells(spark, sf)).withColumn("p", 1 - F.col("alike") / F.col("either"))
     return rounded(p.select("msa_id", "a", "b", kimura("p").alias("d")), "d")
@@ -467,17 +474,16 @@ def substitution_log_odds(spark, sf):
 
 # Trees and distances
 
-DEPTH = 4
 
 
 @query(f"WITH RECURSIVE {s.TREE} SELECT node, n_leaves FROM size")
 def subtree_sizes(spark, sf):
-    return trees.subtree_sizes(s.tree(spark, sf), DEPTH)
+    return trees.subtree_sizes(s.tree(spark, sf))
 
 
 @query(f"WITH RECURSIVE {s.TREE} SELECT tree.node, a.n_leaves FROM tree JOIN size a ON a.node = tree.node LEFT JOIN size b ON b.node = tree.parent WHERE a.n_leaves <= 60 AND (tree.parent IS NULL OR b.n_leaves > 60)")
 def shrub_cut(spark, sf):
-    return trees.shrubs(s.tree(spark, sf), 60, DEPTH)
+    return trees.shrubs(s.tree(spark, sf), 60)
 
 
 HEIGHTS = "h AS (SELECT ancestor AS node, max(distance) AS height FROM up JOIN leaf USING (node) GROUP BY 1)"
@@ -485,7 +491,7 @@ HEIGHTS = "h AS (SELECT ancestor AS node, max(distance) AS height FROM up JOIN l
 
 @query(f"WITH RECURSIVE {s.TREE}, {HEIGHTS} SELECT tree.node, a.height FROM tree JOIN h a ON a.node = tree.node LEFT JOIN h b ON b.node = tree.parent WHERE a.height <= 6.5 AND (tree.parent IS NULL OR b.height > 6.5)")
 def tree_cut_by_height(spark, sf):
-    return trees.cut_at_height(s.tree(spark, sf), 6.5, DEPTH)
+    return trees.cut_at_height(s.tree(spark, sf), 6.5)
 
 
 @query(
@@ -493,7 +499,7 @@ def tree_cut_by_height(spark, sf):
   w AS (SELECT up.node, sum(st) AS w FROM up JOIN leaf USING (node) JOIN st USING (ancestor) GROUP BY 1) SELECT node, {R("w / (SELECT sum(w) FROM w)")} AS weight FROM w"""
 )
 def sequence_weights(spark, sf):
-    return rounded(trees.sequence_weights(s.tree(spark, sf), DEPTH), "weight")
+    return rounded(trees.sequence_weights(s.tree(spark, sf)), "weight")
 
 
 @query(
@@ -503,7 +509,7 @@ def sequence_weights(spark, sf):
 )
 def tree_lca(spark, sf):
     pairs = s.table(spark, sf, "customer").select((F.col("c_custkey") + 1000).cast("bigint").alias("a"), (100 + F.col("c_custkey") % 25).cast("bigint").alias("b"))
-    return rounded(trees.lowest_common_ancestor(s.tree(spark, sf), pairs, DEPTH), "distance")
+    return rounded(trees.lowest_common_ancestor(s.tree(spark, sf), pairs), "distance")
 
 
 @query(

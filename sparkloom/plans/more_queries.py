@@ -11,7 +11,6 @@ from sparkloom.plans import align, tuning
 from sparkloom.plans import stand_ins as s
 from sparkloom.plans.registry import COUNTS, R, query, rounded
 
-DEPTH = 4
 
 
 @query(
@@ -21,7 +20,7 @@ DEPTH = 4
 def divide_tree(spark, sf):
     """Leaves below the lowest common ancestor of two nations of the third region, and the others."""
     third = s.table(spark, sf, "nation").where("n_regionkey = 2").agg(F.min("n_nationkey"), F.max("n_nationkey")).first()
-    inside, outside = trees.divide(s.tree(spark, sf), third[0] + 100, third[1] + 100, DEPTH)
+    inside, outside = trees.divide(s.tree(spark, sf), third[0] + 100, third[1] + 100)
     mark = lambda df, v: df.select("node", F.lit(v).cast("bigint").alias("inside"))
     return mark(inside, 1).union(mark(outside, 0))
 
@@ -37,7 +36,7 @@ def divide_tree(spark, sf):
 def tree_subset_nodes(spark, sf):
     tree = s.tree(spark, sf)
     tips = trees.leaves(tree).where("node >= 1000 and node % 7 = 0")
-    return rounded(trees.subset(tree, tips, DEPTH), "length")
+    return rounded(trees.subset(tree, tips), "length")
 
 
 @query(
@@ -45,7 +44,7 @@ def tree_subset_nodes(spark, sf):
   SELECT row_number() OVER (ORDER BY n_leaves, node) AS place, node, "left", "right" FROM inner_ JOIN size USING (node)"""
 )
 def guide_tree_join_order(spark, sf):
-    return trees.join_order(s.tree(spark, sf), DEPTH)
+    return trees.join_order(s.tree(spark, sf))
 
 
 @query()

@@ -64,13 +64,15 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(set_id, x, y, pos_x, pos_y, p): equal letters of two part names of one brand and type, 1 / (1 + distance of places)."""
+    """(set_id, x, y, pos_x, pos_y, p): equal letters of two part names of one brand and type, 1 / (1 + distance of places).
+
+    The values are multiples of 1/1024, so that sums of their products are exact in any order."""
     part = table(spark, sf_dir, "part").select(
         F.concat_ws("/", "p_brand", "p_type").alias("set_id"), F.col("p_partkey").cast("bigint").alias("k"), F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("pos", "c")
     )
     x = part.select("set_id", F.col("k").alias("x"), (F.col("pos") + 1).cast("bigint").alias("pos_x"), "c")
     y = part.select("set_id", F.col("k").alias("y"), (F.col("pos") + 1).cast("bigint").alias("pos_y"), "c")
-    return x.join(y, ["set_id", "c"]).where("x < y").select("set_id", "x", "y", "pos_x", "pos_y", (1.0 / (1 + F.abs(F.col("pos_x") - F.col("pos_y")))).alias("p"))
+    return x.join(y, ["set_id", "c"]).where("x < y").select("set_id", "x", "y", "pos_x", "pos_y", (F.floor(1024.0 / (1 + F.abs(F.col("pos_x") - F.col("pos_y")))) / 1024.0).alias("p"))
 
 
 def set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE
 size AS (SELECT ancestor AS node, count(*) AS n_leaves FROM up JOIN leaf USING (node) GROUP BY ancestor)"""
 POST = """letters AS (SELECT p_brand || '/' || p_type AS set_id, p_partkey AS k, CAST(c AS BIGINT) AS pos, substr(p_name, CAST(c AS INTEGER), 1) AS ch
   FROM part, range(1, 64) AS t(c) WHERE c <= length(p_name)),
-post AS (SELECT a.set_id, a.k AS x, b.k AS y, a.pos AS pos_x, b.pos AS pos_y, 1.0::DOUBLE / (1 + abs(a.pos - b.pos)) AS p
+post AS (SELECT a.set_id, a.k AS x, b.k AS y, a.pos AS pos_x, b.pos AS pos_y, floor(1024.0::DOUBLE / (1 + abs(a.pos - b.pos))) / 1024.0::DOUBLE AS p
   FROM letters a JOIN letters b ON a.set_id = b.set_id AND a.ch = b.ch AND a.k < b.k),
 sizes AS (SELECT p_brand || '/' || p_type AS set_id, count(*) AS n FROM part GROUP BY 1),
 both_ways AS (SELECT * FROM post UNION ALL SELECT set_id, y, x, pos_y, pos_x, p FROM post)"""

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from sparkloom.kernels import family, guide, hmm, pairwise
-from sparkloom.kernels.scores import blosum62, encode
+from sparkloom.kernels.scores import LETTERS, NUCLEOTIDES, blosum62, encode, joint
 
 
 def all_paths(n, m, steps="MDI"):
@@ -125,7 +125,62 @@ def test_accuracy_path_is_best(seed):
 
 def test_matrix_is_symmetric():
     m = blosum62()
-    assert (m == m.T).all() and m[17, 17] == 11 and m[0, 0] == 4
+    at = lambda a, b: m[LETTERS.index(a), LETTERS.index(b)]
+    assert (m == m.T).all() and m.shape == (20, 20)
+    assert (at("A", "A"), at("W", "W"), at("C", "C"), at("Y", "Y")) == (1.9646, 5.252, 4.2911, 3.2975)
+    assert (at("I", "V"), at("W", "D"), at("K", "R"), at("F", "Y")) == (1.2735, -2.1072, 1.0544, 1.4696)
+    # The scores are log-odds in bits: with the probabilities they imply, letters pair as chance has it in no other way.
+    q, p = joint()
+    assert q[:20, :20].sum() == pytest.approx(1) and np.allclose(q[:20, :20].sum(axis=1), p[:20])
+    assert np.allclose(np.log2(q[:20, :20] / np.outer(p[:20], p[:20])), m, atol=1e-5)
+
+
+def test_other_letters_say_nothing():
+    assert pairwise.score_matrix("AXB", "A-Z").tolist() == [[1.9646, 0, 0], [0, 0, 0], [0, 0, 0]]
+    assert encode("AxY").tolist() == [0, 20, 19] and encode("acgun", NUCLEOTIDES).tolist() == [0, 1, 2, 3, 20]
+    x = hmm.pair_posterior("ACDEFGHIKL", "ACDXFGHIKL")
+    assert x[3, 3] > 0.5
+
+
+@pytest.mark.parametrize("nucleotides", [False, True])
+def test_parameters_of_a_file_are_used(nucleotides):
+    q, _ = joint(nucleotides)
+    letters = NUCLEOTIDES if nucleotides else LETTERS
+    named = {f"E.{letters[i]}{letters[j]}": q[i, j] for i in range(len(letters)) for j in range(i + 1)}
+    named |= {"T.START_M": 0.6, "T.START_IS": 0.02, "T.START_IL": 0.18, "T.M_IS": 0.012, "T.M_IL": 0.008, "T.IS_IS": 0.35, "T.IL_IL": 0.9}
+    read, plain = hmm.Model.of(named, nucleotides), hmm.Model(nucleotides=nucleotides)
+    assert np.allclose(hmm.pair_posterior("ACGTAC", "ACTAC", read), hmm.pair_posterior("ACGTAC", "ACTAC", plain))
+    assert not np.allclose(hmm.pair_posterior("ACGTAC", "ACTAC", hmm.Model.of(named | {"T.M_IS": 0.1}, nucleotides)), hmm.pair_posterior("ACGTAC", "ACTAC", plain))
+    start, t = hmm._tables(plain.perturbed(3))
+    assert start.sum() == pytest.approx(1) and np.allclose(t.sum(axis=1), 1)
+    single = plain.single_affine()
+    assert single.start_short == single.start_long == pytest.approx(0.1) and single.extend_short == pytest.approx(0.625)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_end_gaps_cost_what_they_say(seed):
+    s = np.random.default_rng(seed).normal(size=(3, 4))
+
+    def value(path):
+        i = j = 0
+        v, k = 0.0, 0
+        while k < len(path):
+            stop = k
+            while stop < len(path) and path[stop] == path[k]:
+                stop += 1
+            if path[k] == "M":
+                for _ in range(stop - k):
+                    v, i, j = v + s[i, j], i + 1, j + 1
+            else:
+                down = path[k] == "D"
+                ends = (j in (0, 4)) if down else (i in (0, 3))
+                v += (-0.1 - 0.05 * (stop - k - 1)) if ends else (-0.9 - 0.2 * (stop - k - 1))
+                i, j = (i + stop - k, j) if down else (i, j + stop - k)
+            k = stop
+        return v
+
+    score, _, _, path = pairwise.align(s, -0.9, -0.2, end_open=-0.1, end_extend=-0.05)
+    assert score == pytest.approx(max(map(value, all_paths(3, 4)))) == pytest.approx(value(path))
 
 
 def test_agglomeration():

@@ -21,7 +21,7 @@ def duck(sf):
 def plain(rows, names):
     def value(v):
         if isinstance(v, float):
-            return None if math.isnan(v) else round(v, 5) + 0.0
+            return None if math.isnan(v) else v + 0.0
         return v
 
     return sorted(tuple(value(r[n]) for n in names) for r in rows) if all(None not in r.values() for r in rows) else sorted((tuple(value(r[n]) for n in names) for r in rows), key=str)
