@@ -11,25 +11,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, small_batches, text_id
+from sparkloom.llm.common import drop_materialized, materialize, small_batches, text_id
 
 #: Removed spans below this size go to every executor; beyond it documents are shuffled to them.
 BROADCAST_BYTES = 32 << 20
-#: Earlier holders that a line not yet aligned meets at first, and how many times more in each round.
-GROWTH = 8
+#: Documents that may hold a line for it to count as rare.
+RARE = 8
 
 
-def line_keys(text: bytes, least_words: int) -> list[int]:
-    """A signed 64-bit key of each line; a line of few words is keyed together with what stands before it.
+def line_keys(text: bytes, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A signed 64-bit key and a 32-bit check of each line; a line of few words is keyed together with what stands before it.
 
-    So a short or blank line, common everywhere, counts as shared only where its context is.
+    So a short or blank line, common everywhere, counts as shared only where its context is. Lines
+    are found by their keys and aligned by keys and checks, which by chance agree for one of 2^96.
     """
-    out, before = [], 0
+    keys, checks, before = [], [], 0
+    digest = xxhash.xxh3_128_intdigest
     for line in text.split(b"\n"):
-        own = xxhash.xxh64_intdigest(line, 0 if len(line.split(None, least_words)) >= least_words else before ^ 0x5BD1E995)
-        out.append(own - (1 << 64) if own >> 63 else own)
-        before = own
-    return out
+        before = digest(line, 0 if len(line.split(None, least_words)) >= least_words else (before ^ 0x5BD1E995) & 0xFFFFFFFFFFFFFFFF)
+        keys.append(before & 0xFFFFFFFFFFFFFFFF)
+        checks.append(before >> 96)
+    return np.array(keys, np.uint64).view(np.int64), np.array(checks, np.uint32).view(np.int32)
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -78,150 +80,105 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _removed(batches):
-    """For mapInArrow over (doc_id, text_id, first, place, key, early) sorted by the first four: (doc_id, text_id, place)."""
-    held: list[tuple] = []
-
-    def flush():
-        early = sorted({(e, r[4]) for r in held for e in r[5]})
-        found = patience([k for _, k in early], [r[4] for r in held])
-        return [(*held[j][:2], held[j][3]) for _, j in found]
-
-    for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:3] != row[:3]:
-                out += flush()
-                held = []
-            held.append(row)
-        yield _rows(out)
-    if held:
-        yield _rows(flush())
-
-
 def _aligned(batches):
-    """For mapInArrow over (doc_id, text_id, places, keys, theirs): (doc_id, text_id, place) of what is aligned over the lines both have."""
+    """For mapInArrow over (doc_id, text_id, places, keys, checks, their_keys, their_checks): (doc_id, text_id, place) of the aligned lines."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, places, keys, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            both = set(keys) & set(theirs)
-            mine = [(p, k) for p, k in zip(places, keys, strict=True) if k in both]
-            found = patience([k for k in theirs if k in both], [k for _, k in mine])
-            out += [(doc, text, mine[j][0]) for _, j in found]
-        yield _rows(out)
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_id", "place"])
-
-
-def _with_others(own: DataFrame, lone: DataFrame, left: DataFrame):
-    """What of the lines `left` (doc_id, text_id, place, key) is aligned with any other earlier document that has them, in rounds.
-
-    own: (doc_id, text_id, places, keys), lone: the same by lines. In each round the documents of
-    each line not yet aligned meet GROWTH times as many of its earlier holders as before, dealt by
-    hash, until the line is aligned or all of its holders have been met: nothing is capped.
-    """
-    row = ["doc_id", "text_id"]
-    left = materialize(left)
-    if left.isEmpty():
-        return
-    holders = lone.join(left.select("key").distinct(), "key", "left_semi").select(F.col("doc_id").alias("e"), F.col("text_id").alias("e_text"), "key").distinct()
-    holders = materialize(holders)
-    many = holders.groupBy("key").agg(F.ceil(F.count("*") / GROWTH).alias("lots"))
-    holders = materialize(holders.join(many, "key").withColumn("lot", F.pmod(F.xxhash64("e", "e_text"), F.col("lots"))).drop("lots"))
-    last = holders.agg(F.max("lot")).first()[0]
-    theirs = own.select(F.col("doc_id").alias("e"), F.col("text_id").alias("e_text"), F.col("keys").alias("theirs"))
-    low, high = 0, 1
-    while low <= last:
-        met = holders.where((F.col("lot") >= low) & (F.col("lot") < high))
-        pairs = materialize(left.select(*row, "key").distinct().join(met, "key").where("e < doc_id").select(*row, "e", "e_text").distinct())
-        found = pairs.join(theirs, ["e", "e_text"]).join(own, row).select(*row, "places", "keys", "theirs")
-        more = materialize(found.mapInArrow(_aligned, "doc_id long, text_id long, place int").distinct())
-        yield more
-        left = materialize(left.join(more, [*row, "place"], "left_anti"))
-        if left.isEmpty():
-            return
-        low, high = high, high * GROWTH
-
-
-def aligned_lines(docs: DataFrame, least_words: int) -> DataFrame:
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        arrays = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7)]
+        for row, (doc, text) in enumerate(zip(docs, texts, strict=True)):
+            places, keys, checks, their_keys, their_checks = (x[row] for x in arrays)
+            mine, theirs = (list(zip(k.tolist(), c.tolist(), strict=True)) for k, c in ((keys, checks), (their_keys, their_checks)))
+            both = set(mine) & set(theirs)
+            own = [(p, k) for p, k in zip(places.tolist(), mine, strict=True) if k in both]
+            found = patience([k for k in theirs if k in both], [k for _, k in own])
+            out += [(doc, text, own[j][0]) for _, j in found]
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_id", "place"])
+
+
+def aligned_lines(docs: DataFrame, least_words: int, rare: int) -> DataFrame:
     """(doc_id, text_id, starts, stops): spans of lines aligned with an earlier document. docs: (doc_id without nulls, text binary, text_id)."""
     row = ["doc_id", "text_id"]
 
     def keys(batches):
         for batch in batches:
-            ids, texts, places, found = [], [], [], []
+            ids, texts, places, keys, checks = [], [], [], [], []
             for doc, text, text_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text:
-                    k = line_keys(text, least_words)
-                    found += k
-                    ids.append(np.full(len(k), doc, np.int64))
-                    texts.append(np.full(len(k), text_id, np.int64))
-                    places.append(np.arange(len(k), dtype=np.int32))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x)) for x in (ids, texts, places)), pa.array(found, pa.int64())], ["doc_id", "text_id", "place", "key"]
-                )
-
-    lines = materialize(docs.mapInArrow(keys, "doc_id long, text_id long, place int, key long"))
+                    key, check = line_keys(text, least_words)
+                    keys.append(key)
+                    checks.append(check)
+                    ids.append(np.full(len(key), doc, np.int64))
+                    texts.append(np.full(len(key), text_id, np.int64))
+                    places.append(np.arange(len(key), dtype=np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, texts, places, keys, checks)], ["doc_id", "text_id", "place", "key", "check"])
+
+    lines = materialize(docs.mapInArrow(keys, "doc_id long, text_id long, place int, key long, check int"))
     # What is aggregated is written before it is joined, so that adaptive execution can split a hot key.
-    first = materialize(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    shared = materialize(lines.join(first, "key"))
-    # Documents whose shared lines are the same sequence are one to any other; all but the first of them lose all of it.
-    line = F.array_sort(F.collect_list(F.struct("place", "key")))
-    sequences = materialize(shared.groupBy(*row).agg(line.alias("s")).select(*row, F.col("s.place").alias("places"), F.col("s.key").alias("keys")))
-    classes = materialize(sequences.groupBy("keys").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    copies = materialize(sequences.join(classes, "keys").where("doc_id > class").select(*row))
+    several = materialize(lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key"))
+    shared = lines.join(several, "key")
+    ordered = shared.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("place", "key", "check"))).alias("s"))
+    sequences = materialize(ordered.select(*row, F.col("s.place").alias("places"), F.col("s.key").alias("keys"), F.col("s.check").alias("checks")))
+    # Documents with the same sequence of shared lines are one; all but the first of them lose all of it.
+    same = [F.xxhash64("keys").alias("h"), F.xxhash64("checks", "keys").alias("g")]
+    classes = materialize(sequences.select("doc_id", *same).groupBy("h", "g").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("last")).where("class < last").drop("last"))
+    copies = materialize(sequences.select(*row, *same).join(classes, ["h", "g"]).where("doc_id > class").select(*row))
     whole = sequences.join(copies, row, "left_semi").select(*row, F.explode("places").alias("place"))
     own = materialize(sequences.join(copies, row, "left_anti"))
-    lone = materialize(shared.join(copies, row, "left_anti"))
-    early = materialize(lone.where("doc_id = first").groupBy("key").agg(F.collect_set("place").alias("early")))
-    later = materialize(lone.where("doc_id > first"))
-    traced = later.join(early, "key").select(*row, "first", "place", "key", "early")
-    gone = materialize(traced.repartition(*row).sortWithinPartitions(*row, "first", "place").mapInArrow(_removed, "doc_id long, text_id long, place int"))
-    gone = whole.union(gone)
-    for more in _with_others(own, lone, later.join(gone, [*row, "place"], "left_anti").select(*row, "place", "key")):
-        gone = gone.union(more)
+    held = own.select(*row, F.explode(F.array_distinct("keys")).alias("key"))
+    holder = F.struct(*row)
+    known = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min(holder).alias("e")).where("n > 1"))
+    met = materialize(held.join(known, "key").select("key", "n", holder.alias("d"), "e"))
+    all_earlier = met.where(F.col("n") <= rare).groupBy("key").agg(F.collect_set("d").alias("all")).select(F.explode("all").alias("d"), "all").select("d", F.explode("all").alias("e"))
+    pairs = met.where(F.col("n") > rare).select("d", "e").union(all_earlier).where("e.doc_id < d.doc_id").distinct()
+    pairs = materialize(pairs.select("d.doc_id", "d.text_id", F.col("e.doc_id").alias("e_doc"), F.col("e.text_id").alias("e_text")))
+    theirs = own.select(F.col("doc_id").alias("e_doc"), F.col("text_id").alias("e_text"), F.col("keys").alias("their_keys"), F.col("checks").alias("their_checks"))
+    both = pairs.join(own, row).join(theirs, ["e_doc", "e_text"]).select(*row, "places", "keys", "checks", "their_keys", "their_checks")
+    gone = whole.union(both.mapInArrow(_aligned, "doc_id long, text_id long, place int"))
     placed = gone.groupBy(*row).agg(F.array_sort(F.collect_set("place")).alias("s"))
-    return materialize(
+    spans = materialize(
         placed.select(
             *row,
             F.expr("filter(s, (x, i) -> i = 0 or x - s[i - 1] > 1)").alias("starts"),
             F.expr("transform(filter(s, (x, i) -> i = size(s) - 1 or s[i + 1] - x > 1), x -> x + 1)").alias("stops"),
         )
     )
+    for done in (lines, several, sequences, classes, copies, own, known, met, pairs):
+        drop_materialized(done)
+    return spans
 
 
-def dedup(docs: DataFrame, least_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 3, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with their text cut, and n_lines and n_removed (columns of these names are replaced).
 
-    Each line is traced to the earliest document (smallest doc_id) that has it, and a document is
-    paired with every document that its lines are traced to. A pair is aligned by patience diff over
-    the lines it shares in this way: lines unique in both anchor the alignment. Aligned blocks are
-    removed from the later document. Lines that this leaves (those in another order or more often
-    than in their first holder) are aligned with all other earlier documents that have them, over
-    the lines that both have, until one alignment takes them. Documents with the same sequence of
-    shared lines count as one there, and all but the first lose all of it. Lines of fewer
-    than `least_words` words (blank ones too) are shared only together with the line before them.
+    A document is paired with every earlier document (smaller doc_id) that has one of its rare lines
+    (those that at most `rare` documents have) and, for each line that more have, with the earliest
+    that has it. The two documents of a pair are aligned whole by patience diff, over all lines that
+    both have: lines unique in both anchor the alignment. Aligned blocks are removed from the later document. Documents with the same
+    sequence of shared lines count as one, and all but the first lose all of it. So a pair is made for
+    each rare line at most `rare` times, for any other once, however many documents have it. Lines of
+    fewer than `least_words` words (blank ones too) are shared only together with the line before
+    them.
 
     Null texts stay null with no lines. Rows that repeat a doc_id are one document: each loses what
     an earlier document has and nothing to the others. Rows without doc_id are one document after
-    all others. An empty table gives an empty result; all other columns are kept.
+    all others. A very long text is one task's work as a row, with memory in proportion to its lines
+    and to those of its partner. An empty table gives an empty result; all other columns are kept.
     """
     small_batches(docs.sparkSession)
     last = (1 << 63) - 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
     text = F.col(text_col).cast("binary")
     number = text_id(docs, key, text)
-    spans = aligned_lines(docs.select(key.alias("doc_id"), text.alias("text"), number.alias("text_id")), least_words)
+    spans = aligned_lines(docs.select(key.alias("doc_id"), text.alias("text"), number.alias("text_id")), least_words, rare)
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops"))
     size = spans.agg(F.sum(F.lit(48) + 8 * F.size("__starts"))).first()[0] or 0
     kept = docs.drop("n_lines", "n_removed")
     keyed = kept.withColumn("__key", key).withColumn("__number", number)
     same = (F.col("__key") == F.col("__id")) & (F.col("__number") == F.col("__text_id"))
-    joined = keyed.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left")
+    joined = keyed.join(F.broadcast(spans) if size <= broadcast_bytes else spans, same, "left")
     joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
     left = F.expr(
         """array_join(flatten(transform(sequence(0, size(__starts)), i -> slice(__lines,

@@ -265,36 +265,100 @@ def test_stable_tokens_are_emitted_early():
     assert len(parts) > 2 and [t for p in parts for t in p] == byte.merged(data[:64])[:0] + [t for p in parts for t in p]
 
 
-def brute_lines(rows):
-    keys = {d: lines.line_keys(t.encode(), 3) if t else [] for d, t in rows}
-    first = {}
-    for d in sorted(keys):
-        for k in keys[d]:
-            first.setdefault(k, d)
-    gone = {}
+def brute_increasing(values):
+    best, prev = [], []
+    for i, v in enumerate(values):
+        before = [j for j in range(i) if values[j] < v]
+        top = max((best[j] for j in before), default=0)
+        prev.append(min((j for j in before if best[j] == top), key=lambda j: values[j], default=None))
+        best.append(top + 1)
+    i = min((i for i in range(len(values)) if best[i] == max(best)), key=lambda i: values[i], default=None)
+    out = []
+    while i is not None:
+        out.append(i)
+        i = prev[i]
+    return out[::-1]
+
+
+def brute_patience(a, b):
+    """Pairs of places, by recursion over what equal beginnings, equal ends and unique lines leave."""
+    if not a or not b:
+        return set()
+    if a[0] == b[0]:
+        return {(0, 0)} | {(i + 1, j + 1) for i, j in brute_patience(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {(len(a) - 1, len(b) - 1)} | brute_patience(a[:-1], b[:-1])
+    unique = [(a.index(k), j) for j, k in enumerate(b) if a.count(k) == b.count(k) == 1]
+    chain = [unique[i] for i in brute_increasing([i for i, _ in unique])]
+    out, edges = set(chain), [(-1, -1), *chain, (len(a), len(b))]
+    for (p, s), (q, t) in zip(edges, edges[1:], strict=False) if chain else []:
+        out |= {(p + 1 + i, s + 1 + j) for i, j in brute_patience(a[p + 1 : q], b[s + 1 : t])}
+    return out
+
+
+def brute_lines(rows, rare):
+    """The places that each document of different ids loses, from the lines themselves."""
+    keys = {}
+    for d, t in rows:
+        keys[d] = own = []
+        for line in t.split("\n") if t else []:
+            own.append(line if len(line.encode().split()) >= 3 else (line, own[-1] if own else None))
+    everywhere = defaultdict(set)
     for d, own in keys.items():
-        gone[d] = set()
-        for e in {first[k] for k in own} - {d}:
-            mine = [(i, k) for i, k in enumerate(own) if first[k] == e]
-            shared = {k for _, k in mine}
-            theirs = [k for k in keys[e] if k in shared]
-            gone[d] |= {mine[j][0] for _, j in lines.patience(theirs, [k for _, k in mine])}
+        for k in own:
+            everywhere[k].add(d)
+    shared = {d: [(i, k) for i, k in enumerate(own) if len(everywhere[k]) > 1] for d, own in keys.items()}
+    first = {}
+    for d in sorted(shared):
+        first.setdefault(tuple(k for _, k in shared[d]), d)
+    lone = {d: x for d, x in shared.items() if first[tuple(k for _, k in x)] == d}
+    holders = defaultdict(set)
+    for d, x in lone.items():
+        for _, k in x:
+            holders[k].add(d)
+    gone = {d: set() if d in lone else {i for i, _ in x} for d, x in shared.items()}
+    for d, x in lone.items():
+        partners = {e for _, k in x for e in (holders[k] if len(holders[k]) <= rare else [min(holders[k])]) if e < d}
+        for e in partners:
+            both = {k for _, k in lone[e]} & {k for _, k in x}
+            own = [(i, k) for i, k in x if k in both]
+            gone[d] |= {own[j][0] for _, j in brute_patience([k for _, k in lone[e] if k in both], [k for _, k in own])}
     return gone
 
 
-def test_lines(docs, rows, empty):
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(docs).collect()}
-    gone = brute_lines(list(set(rows)))
+@pytest.mark.parametrize(("rare", "broadcast_bytes"), [(8, lines.BROADCAST_BYTES), (2, 0)])
+def test_lines(docs, rows, empty, rare, broadcast_bytes):
+    found = lines.dedup(docs, rare=rare, broadcast_bytes=broadcast_bytes)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in found.collect()}
+    gone = brute_lines([(d, t) for d, t in set(rows)], rare)
     assert sum(map(len, gone.values())) > 10
     for d, t in rows:
         kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
         assert got[d] == (kept, 0 if t is None else len(t.split("\n")), len(gone[d]))
-    assert lines.dedup(docs).count() == len(rows)
+    assert found.count() == len(rows)
     assert lines.dedup(empty).count() == 0
-    assert set(docs.columns) < set(lines.dedup(docs).columns)
+    assert set(docs.columns) < set(found.columns)
+
+
+@pytest.mark.parametrize("rare", [1, 3, 100])
+def test_lines_of_few_kinds(spark, rare):
+    """Many documents of the same few lines, in all orders and with repeats."""
+    rng = random.Random(rare)
+    kinds = [f"line {c} of words" for c in "abcdefghij"] + ["", "short", "}"]
+    table = [(i, "\n".join(rng.choice(kinds[: rng.randint(2, 13)]) for _ in range(rng.randint(1, 12)))) for i in range(80)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(3), rare=rare).collect()}
+    gone = brute_lines(table, rare)
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in table}
+
+
+def test_many_equal_lines(spark):
+    text = "\n".join(["the same line of a log"] * 20000)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(spark.createDataFrame([(1, text), (2, text + "\nand another line here")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 20000}
 
 
 def test_lines_align_with_later_holders(spark):
+    """A copy of a document that isn't the first to hold its lines goes, and so does what stands in another order than there."""
     foot, x, s, t, u, *p = (f"{w} of three words" for w in ("foot", "x", "s", "t", "u", "p", "q", "r", "own", "lone"))
     second = [p[0], foot, p[1], foot, p[2], t, s]
     table = [(1, [foot, x, s, t]), (2, second), (3, second), (4, [u, t, s, p[3]]), (5, [t, p[4], s])]
