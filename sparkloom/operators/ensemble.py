@@ -67,14 +67,48 @@ def best_columns(cols: DataFrame, least: float = 1.0, most_gaps: float = 0.5, mo
 
 def dispersion(members: DataFrame) -> DataFrame:
     """(msa_id, dispersion): one minus the upper median over member pairs of the mean Q of both directions."""
+    return dispersions(members).select("msa_id", F.col("d_q").alias("dispersion"))
+
+
+def pair_scores(members: DataFrame) -> DataFrame:
+    """(msa_id, i, j, q, tc), i < j: the mean Q and TC of both directions of each two members."""
     pair = members.select(*KEYS).distinct()
     pairs = pair.withColumnRenamed("msa_idx", "i").join(pair.withColumnRenamed("msa_idx", "j"), "msa_id").where("i <> j")
-    name = F.concat_ws("\t", "msa_id", F.col("i").cast("string"), F.col("j").cast("string"))
+    name = F.to_json(F.struct("msa_id", "i", "j"))
     side = lambda c: members.withColumnRenamed("msa_idx", c).join(pairs, ["msa_id", c]).select(name.alias("msa_id"), "seq_id", "col", F.upper("letter").alias("letter"))
-    q = score.quality(side("i"), side("j"), "strict").select(F.split("msa_id", "\t").alias("x"), "q")
-    low, high = F.least(F.col("x")[1].cast("int"), F.col("x")[2].cast("int")), F.greatest(F.col("x")[1].cast("int"), F.col("x")[2].cast("int"))
-    mean = q.groupBy(F.col("x")[0].alias("msa_id"), low.alias("i"), high.alias("j")).agg(F.avg("q").alias("q"))
-    return mean.groupBy("msa_id").agg((1 - F.element_at(F.array_sort(F.collect_list("q")), F.floor(F.count("*") / 2).cast("int") + 1)).alias("dispersion"))
+    found = score.quality(side("i"), side("j"), "strict").select(F.from_json("msa_id", "msa_id string, i bigint, j bigint").alias("x"), "q", "tc")
+    return found.groupBy(F.col("x.msa_id").alias("msa_id"), F.least("x.i", "x.j").alias("i"), F.greatest("x.i", "x.j").alias("j")).agg(F.avg("q").alias("q"), F.avg("tc").alias("tc"))
+
+
+def dispersions(members: DataFrame) -> DataFrame:
+    """(msa_id, d_q, d_tc): one minus the upper medians of Q and TC over member pairs."""
+    upper = lambda c: 1 - F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int") + 1)
+    return pair_scores(members).groupBy("msa_id").agg(upper("q").alias("d_q"), upper("tc").alias("d_tc"))
+
+
+def member_table(members: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """One row for each member: columns, singletons, total, cc = total / columns, median, error = 1 - median, and Q and TC against a gold alignment if there is one."""
+    stats = member_stats(columns(members)).withColumns({"cc": F.col("total") / F.col("cols"), "error": 1 - F.col("median")})
+    if gold is None:
+        return stats
+    name = F.to_json(F.struct(*KEYS))
+    test = members.withColumn("msa_id", name).select("msa_id", "seq_id", "col", "letter")
+    golds = members.select(*KEYS).distinct().join(gold, "msa_id").withColumn("msa_id", name).select("msa_id", "seq_id", "col", "letter")
+    found = score.quality(test, golds).select(F.from_json("msa_id", "msa_id string, msa_idx bigint").alias("x"), "q", "tc")
+    return stats.join(found.select("x.msa_id", "x.msa_idx", "q", "tc"), KEYS, "left")
+
+
+def right_columns(members: DataFrame, gold: DataFrame) -> DataFrame:
+    """(msa_id, msa_idx, col, right): columns that hold at least half (rounded down) of a gold column's rows, and whether they hold all its residues and no others of it."""
+    name = F.to_json(F.struct(*KEYS))
+    test = members.withColumn("msa_id", name).select("msa_id", "seq_id", "col", "letter")
+    golds = members.select(*KEYS).distinct().join(gold, "msa_id").withColumn("msa_id", name).select("msa_id", "seq_id", "col", "letter")
+    spots = score.residue_join(test, golds).groupBy("msa_id", "gold_col", "test_col").agg(F.count("*").alias("n"))
+    whole = spots.groupBy("msa_id", "gold_col").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("test_col")).alias("t"))).alias("m"))
+    rows = golds.groupBy("msa_id", "gold_col" if "gold_col" in golds.columns else F.col("col").alias("gold_col")).agg(F.count("*").alias("rows"))
+    held = whole.join(rows, ["msa_id", "gold_col"]).where(F.col("m.n") >= F.floor(F.col("rows") / 2))
+    per = held.groupBy("msa_id", (-F.col("m.t")).alias("col")).agg(F.max((F.col("m.n") == F.col("all")).cast("bigint")).alias("right"))
+    return per.select(F.from_json("msa_id", "msa_id string, msa_idx bigint").alias("x"), "col", "right").select("x.msa_id", "x.msa_idx", "col", "right")
 
 
 def confidence_bins(cols: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.letters import is_gap, is_lower, is_upper
+from sparkloom.operators.sequences import quartiles
 
 
 def to_cells(rows: DataFrame) -> DataFrame:
@@ -41,11 +42,48 @@ def occupancy(cells: DataFrame) -> DataFrame:
 
 
 def aligned_columns(cells: DataFrame, most_gaps: float = 1.0) -> DataFrame:
-    """Upper-case columns with at most a share of gaps; a column with letters of both cases is an error."""
+    """Columns of two upper-case letters or more with at most a share of gaps; a column with letters of both cases is an error."""
     c = column_counts(cells)
     mixed = (F.col("uppers") > 0) & (F.col("lowers") > 0)
     checked = c.withColumn("uppers", F.when(mixed, F.raise_error(F.concat(F.lit("mixed case in column "), F.col("col").cast("string"))).cast("bigint")).otherwise(F.col("uppers")))
-    return checked.where((F.col("uppers") > 0) & (F.col("gaps") <= most_gaps * F.col("n_rows"))).select("msa_id", "col")
+    return checked.where((F.col("uppers") >= 2) & (F.col("gaps") <= most_gaps * F.col("n_rows"))).select("msa_id", "col")
+
+
+def project(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows that (msa_id, seq_id) names, without the columns that are then all gaps, numbered anew."""
+    return renumber(drop_gap_columns(cells.join(rows, ["msa_id", "seq_id"], "left_semi")))
+
+
+def ranges(cells: DataFrame, first: int, last: int, rows: DataFrame | None = None) -> DataFrame:
+    """Columns first to last (of the given rows), numbered from 1."""
+    some = cells if rows is None else cells.join(rows, ["msa_id", "seq_id"], "left_semi")
+    return some.where(F.col("col").between(first, last)).withColumn("col", F.col("col") - (first - 1))
+
+
+def edited(cells: DataFrame, gone: DataFrame | None = None, copied: DataFrame | None = None) -> DataFrame:
+    """Without the columns (msa_id, col) of `gone` and with copies of those of `copied` at the right end, numbered anew."""
+    kept = cells if gone is None else cells.join(gone, ["msa_id", "col"], "left_anti")
+    if copied is None:
+        return renumber(kept)
+    width = cells.groupBy("msa_id").agg(F.max("col").alias("width"))
+    more = on_columns(cells, copied).join(width, "msa_id").withColumn("col", F.col("col") + F.col("width")).drop("width")
+    return renumber(kept.unionByName(more))
+
+
+def core(cells: DataFrame, least: int = 10) -> DataFrame:
+    """(msa_id, seq_id, row): columns without any gap in upper case, the others squeezed; alignments of fewer such columns have none."""
+    columns = match_columns(cells, 0.0)
+    enough = columns.groupBy("msa_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("msa_id")
+    kept = columns.join(enough, "msa_id", "left_semi")
+    return squeeze_inserts(cells.join(enough, "msa_id", "left_semi"), kept)
+
+
+def confidence_runs(columns: DataFrame) -> DataFrame:
+    """(msa_id, msa_idx, first_col, last_col, bin): maximal runs of columns whose confidence is in one tenth. columns: (msa_id, msa_idx, col, confidence)."""
+    keys = ["msa_id", "msa_idx"]
+    binned = columns.withColumn("bin", F.floor(F.col("confidence") * 10).cast("bigint"))
+    island = F.row_number().over(Window.partitionBy(*keys).orderBy("col")) - F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("col"))
+    return binned.withColumn("island", island).groupBy(*keys, "bin", "island").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col")).drop("island")
 
 
 def on_columns(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -149,10 +187,10 @@ def trim_to_reference(cells: DataFrame, reference: DataFrame) -> DataFrame:
 
 def trim_ensemble(cells: DataFrame, reference: DataFrame, members: str = "msa_idx") -> DataFrame:
     """trim_to_reference of each member of an ensemble; cells has the member's number too."""
-    glue = cells.withColumn("msa_id", F.concat_ws("\t", "msa_id", F.col(members).cast("string")))
-    each = cells.select("msa_id", members).distinct().join(reference, "msa_id").select(F.concat_ws("\t", "msa_id", F.col(members).cast("string")).alias("msa_id"), "seq_id", "col", "letter")
-    parts = F.split("msa_id", "\t")
-    return trim_to_reference(glue.select("msa_id", "seq_id", "col", "letter"), each).withColumn(members, parts[1].cast("bigint")).withColumn("msa_id", parts[0])
+    name = F.to_json(F.struct("msa_id", F.col(members).cast("bigint").alias("i")))
+    glue = cells.withColumn("msa_id", name)
+    each = cells.select("msa_id", members).distinct().join(reference, "msa_id").select(name.alias("msa_id"), "seq_id", "col", "letter")
+    return trim_to_reference(glue.select("msa_id", "seq_id", "col", "letter"), each).withColumn("x", F.from_json("msa_id", "msa_id string, i bigint")).withColumn(members, F.col("x.i")).withColumn("msa_id", F.col("x.msa_id")).drop("x")
 
 
 def row_pairs(cells: DataFrame) -> DataFrame:
@@ -187,6 +225,13 @@ def strip_anchors(cells: DataFrame) -> DataFrame:
     return cells.join(checked, ["msa_id", "col"], "left_anti")
 
 
+def spread_statistics(cells: DataFrame) -> DataFrame:
+    """(msa_id, what, lo, median, hi, mean) of the lengths of rows without gaps and of the gap percent of columns (whole numbers); medians are upper ones."""
+    lengths = cells.groupBy("msa_id", "seq_id").agg(F.sum((~is_gap("letter")).cast("bigint")).alias("v")).select("msa_id", F.lit("length").alias("what"), "v")
+    gaps = column_counts(cells).select("msa_id", F.lit("gap_percent").alias("what"), F.expr("gaps * 100 div n_rows").alias("v"))
+    return quartiles(lengths.union(gaps), "v", ["msa_id", "what"]).select("msa_id", "what", "lo", "median", "hi", "mean")
+
+
 def statistics(cells: DataFrame) -> DataFrame:
     """One row for each alignment: rows, columns, gap-free columns, case of columns, share of gaps."""
     c = column_counts(cells)

@@ -72,6 +72,25 @@ def gap_stages(cells: DataFrame) -> DataFrame:
     )
 
 
+def consensus(shares: DataFrame) -> DataFrame:
+    """(msa_id, consensus) of letter shares (msa_id, col, letter, share): the most frequent letter, lower case below one half, `-` where letters make up less than one half."""
+    top = shares.groupBy("msa_id", "col").agg(F.sum("share").alias("total"), F.min(F.struct((-F.col("share")).alias("s"), "letter")).alias("m"))
+    letter = F.when(F.col("total") < 0.5, "-").when(-F.col("m.s") < 0.5, F.lower("m.letter")).otherwise(F.col("m.letter"))
+    packed = F.array_sort(F.collect_list(F.struct("col", letter.alias("l"))))
+    return top.groupBy("msa_id").agg(F.array_join(F.transform(packed, lambda x: x["l"]), "").alias("consensus"))
+
+
+def substitutions_between(cells: DataFrame, least: float, most: float) -> DataFrame:
+    """(x, y, pairs), x <= y: letters that stand in one column of two rows whose percent identity lies in a window."""
+    from sparkloom.operators.msa import row_pairs
+
+    alike = row_pairs(cells).where(F.col("both") > 0).withColumn("p", 100.0 * F.col("same") / F.col("both")).where(F.col("p").between(least, most)).select("msa_id", "a", "b")
+    letters = cells.where(~is_gap("letter")).select("msa_id", "seq_id", "col", F.upper("letter").alias("letter"))
+    first = alike.join(letters.select("msa_id", F.col("seq_id").alias("a"), "col", F.col("letter").alias("la")), ["msa_id", "a"])
+    both = first.join(letters.select("msa_id", F.col("seq_id").alias("b"), "col", F.col("letter").alias("lb")), ["msa_id", "b", "col"])
+    return both.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.count("*").alias("pairs"))
+
+
 def substitutions(cells: DataFrame) -> DataFrame:
     """(x, y, pairs, log_odds), x <= y: letters that stand in one column, against what their shares give.
 

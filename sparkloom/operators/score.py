@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.letters import is_gap, is_upper
+from sparkloom.functions.letters import confidence_symbol, is_gap, is_upper
 from sparkloom.operators import msa
 
 
@@ -90,6 +90,13 @@ def letter_confidence(members: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.join(n, "msa_id").select("msa_id", "seq_id", "gold_col", (F.col("hits") / F.col("m")).alias("confidence"))
 
 
+def confidence_rows(letters: DataFrame) -> DataFrame:
+    """(msa_id, symbols): the mean letter confidence of each gold column as a symbol, from (msa_id, gold_col, confidence)."""
+    each = letters.groupBy("msa_id", "gold_col").agg(F.round(F.avg("confidence"), 9).alias("c"))
+    packed = F.array_sort(F.collect_list(F.struct("gold_col", confidence_symbol("c").alias("s"))))
+    return each.groupBy("msa_id").agg(F.array_join(F.transform(packed, lambda x: x["s"]), "").alias("symbols"))
+
+
 def compare_columns(test: DataFrame, gold: DataFrame) -> DataFrame:
     """(msa_id, test_col, gold_col, n): the gold column that most residues of a test column lie in, counted anew for each column."""
     swapped = best_columns(gold, test)

@@ -61,6 +61,23 @@ def without(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def subset(rows: DataFrame, ids: DataFrame, key: str = "seq_id") -> DataFrame:
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def length_statistics(seqs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, lo, hi and mean of the lengths."""
+    n = F.length("letters")
+    aggregates = [F.count("*").alias("n"), F.min(n).cast("bigint").alias("lo"), F.max(n).cast("bigint").alias("hi"), F.avg(n).alias("mean")]
+    return seqs.groupBy(*by).agg(*aggregates) if by else seqs.agg(*aggregates)
+
+
+def differences(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(side, columns...): rows of one side that the other lacks, as often as it lacks them; none if both are the same."""
+    a, b = left.select(*columns), right.select(*columns)
+    return a.exceptAll(b).select(F.lit("left").alias("side"), *columns).union(b.exceptAll(a).select(F.lit("right").alias("side"), *columns))
+
+
 def label_check(seqs: DataFrame) -> DataFrame:
     """Labels that occur more than once."""
     return seqs.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")

@@ -127,27 +127,29 @@ def cluster(seqs: DataFrame, least: float = 0.9, k: int = 3, most_rejects: int =
     """
 
     seqs = seqs.select("set_id", "seq_id", "letters")
-    counted = materialize(kmers.counts(seqs, k).join(seqs.select("seq_id", "set_id", F.length("letters").alias("n_letters")), "seq_id"))
+    own = ["set_id", "seq_id"]
+    words = kmers.words(seqs.withColumn("seq_id", F.struct(*own)), k).groupBy("seq_id", "kmer").agg(F.count("*").alias("n")).select("seq_id.*", "kmer", "n")
+    counted = materialize(words.join(seqs.select(*own, F.length("letters").alias("n_letters")), own))
     left = materialize(seqs)
     done = None
     while not left.isEmpty():
-        live = counted.join(left.select("seq_id"), "seq_id", "left_semi")
+        live = counted.join(left.select(*own), own, "left_semi")
         rank = F.struct(-F.col("n_letters"), F.col("seq_id"))
         first = live.groupBy("set_id", "kmer").agg(F.min(rank).alias("m"))
-        beaten = live.join(first, ["set_id", "kmer"]).where(rank > F.col("m")).select("seq_id").distinct()
-        fresh = materialize(left.join(beaten, "seq_id", "left_anti"))
+        beaten = live.join(first, ["set_id", "kmer"]).where(rank > F.col("m")).select(*own).distinct()
+        fresh = materialize(left.join(beaten, own, "left_anti"))
         centroids = fresh.select("set_id", F.col("seq_id").alias("centroid_id"), F.col("letters").alias("sy"))
-        own = fresh.select("set_id", "seq_id", F.col("seq_id").alias("centroid_id"), F.lit(1.0).alias("ea"))
-        rest = left.join(fresh.select("seq_id"), "seq_id", "left_anti")
-        words = live.join(fresh.select("seq_id"), "seq_id", "left_semi").select("set_id", "kmer", F.col("seq_id").alias("centroid_id"), F.col("n").alias("m"))
-        shared = live.join(rest.select("seq_id"), "seq_id", "left_semi").join(words, ["set_id", "kmer"]).groupBy("set_id", "seq_id", "centroid_id").agg(F.sum(F.col("n") * F.col("m")).alias("u"))
-        best = shared.withColumn("r", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("u"), "centroid_id"))).where(F.col("r") <= most_rejects)
+        centres = fresh.select("set_id", "seq_id", F.col("seq_id").alias("centroid_id"), F.lit(1.0).alias("ea"))
+        rest = left.join(fresh.select(*own), own, "left_anti")
+        words = live.join(fresh.select(*own), own, "left_semi").select("set_id", "kmer", F.col("seq_id").alias("centroid_id"), F.col("n").alias("m"))
+        shared = live.join(rest.select(*own), own, "left_semi").join(words, ["set_id", "kmer"]).groupBy("set_id", "seq_id", "centroid_id").agg(F.sum(F.col("n") * F.col("m")).alias("u"))
+        best = shared.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("u"), "centroid_id"))).where(F.col("r") <= most_rejects)
         tried = best.join(rest, ["set_id", "seq_id"]).join(centroids, ["set_id", "centroid_id"]).select("set_id", F.col("seq_id").alias("x"), F.col("centroid_id").alias("y"), F.col("letters").alias("sx"), "sy", "r")
         scored = expected_accuracies(tried).where(F.col("ea") >= least)
-        joined = scored.join(best.select(F.col("seq_id").alias("x"), F.col("centroid_id").alias("y"), "r"), ["x", "y"]).groupBy("set_id", F.col("x").alias("seq_id")).agg(F.min(F.struct("r", "y", "ea")).alias("m"))
-        assigned = materialize(own.unionByName(joined.select("set_id", "seq_id", F.col("m.y").alias("centroid_id"), F.col("m.ea").alias("ea"))))
+        joined = scored.join(best.select("set_id", F.col("seq_id").alias("x"), F.col("centroid_id").alias("y"), "r"), ["set_id", "x", "y"]).groupBy("set_id", F.col("x").alias("seq_id")).agg(F.min(F.struct("r", "y", "ea")).alias("m"))
+        assigned = materialize(centres.unionByName(joined.select("set_id", "seq_id", F.col("m.y").alias("centroid_id"), F.col("m.ea").alias("ea"))))
         done = assigned if done is None else done.unionByName(assigned)
-        left = materialize(left.join(assigned.select("seq_id"), "seq_id", "left_anti"))
+        left = materialize(left.join(assigned.select(*own), own, "left_anti"))
     return done if done is not None else seqs.select("set_id", "seq_id", F.col("seq_id").alias("centroid_id"), F.lit(1.0).alias("ea"))
 
 
@@ -161,8 +163,9 @@ def divide_and_conquer(seqs: DataFrame, least: float = 0.7, consistency: int = 2
     reps = keyed.groupBy("set_id", F.upper("letters").alias("letters")).agg(F.min("seq_id").alias("seq_id"), F.collect_list("seq_id").alias("all"))
     reps = materialize(reps)
     groups = cluster(reps, least)
-    parts = reps.join(groups.select("seq_id", "centroid_id"), "seq_id").select(F.concat_ws("\t", "set_id", F.col("centroid_id").cast("string")).alias("set_id"), "seq_id", "letters")
-    aligned = align_families(parts, consistency, refine).withColumn("part", F.split("set_id", "\t")[1]).withColumn("set_id", F.split("set_id", "\t")[0])
+    parts = reps.join(groups.select("set_id", "seq_id", "centroid_id"), ["set_id", "seq_id"]).select(F.to_json(F.struct("set_id", "centroid_id")).alias("set_id"), "seq_id", "letters")
+    named = F.from_json("set_id", "set_id string, centroid_id bigint")
+    aligned = align_families(parts, consistency, refine).withColumn("x", named).select("x.set_id", F.col("x.centroid_id").alias("part"), "seq_id", "row")
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = [(list(g["seq_id"]), list(g["row"])) for _, g in sorted(pdf.groupby("part"), key=lambda x: (-len(x[1]), x[0]))]
@@ -173,7 +176,7 @@ def divide_and_conquer(seqs: DataFrame, least: float = 0.7, consistency: int = 2
         return pd.DataFrame({"set_id": key[0], "seq_id": ids, "row": rows})
 
     merged = aligned.select("set_id", "part", "seq_id", "row").groupBy("set_id").applyInPandas(merge, ROWS)
-    return merged.join(reps.select("seq_id", "all"), "seq_id").select("set_id", F.explode("all").alias("seq_id"), "row")
+    return merged.join(reps.select("set_id", "seq_id", "all"), ["set_id", "seq_id"]).select("set_id", F.explode("all").alias("seq_id"), "row")
 
 
 def transitive_rows(paths: DataFrame, reference: DataFrame) -> DataFrame:

@@ -619,4 +619,4 @@ def super5_alignment(spark, sf):
     return align.divide_and_conquer(_families(spark, sf), 0.7)
 
 
-from sparkloom.plans import more_queries  # noqa: E402, F401  registers the rest
+from sparkloom.plans import more_queries, wide_queries  # noqa: E402, F401  register the rest
