@@ -434,9 +434,14 @@ PERSONAL = [
 ]
 
 
-def base(text):
-    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+KIND_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def raw(text):
+    return [(k, m.start(), m.end()) for k, p in KIND_PATTERNS.items() for m in re.finditer(p, text or "")]
 
+
+def base(text):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -444,7 +449,7 @@ def base(text):
         d = re.sub("[^0-9]", "", m)
         return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else None, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
 
-    return [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, text or "") if fine(k, m[0])]
+    return [(k, m.start(), m.end()) for k, p in KIND_PATTERNS.items() for m in re.finditer(p, text or "") if fine(k, m[0])]
 
 
 def test_pii(spark, empty):
@@ -460,6 +465,79 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def brute_spans(texts, support=5, confidence=0.8, rounds=10):
+    """Spans of each text: the base ones, and words that hold a digit where trusted contexts stand beside them."""
+    candidate = re.compile(r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*[0-9])[A-Za-z0-9@._+-]{5,}[A-Za-z0-9]")
+    side = lambda w: re.sub("[0-9]", "0", w.lower())
+    seen = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        known = base(t)
+        spots = [(k, a, b) for k, a, b in known]
+        spots += [(None, m.start(), m.end()) for m in candidate.finditer(t) if all(b <= m.start() or a >= m.end() for _, a, b in known)]
+        # What stands beside a span reaches to the next match of its own pattern.
+        ends = {k: [(x, y) for kk, x, y in raw(t) if kk == k] for k in KIND_PATTERNS}
+        ends[None] = [(m.start(), m.end()) for m in candidate.finditer(t)]
+        for k, a, b in spots:
+            left = words(t[max([y for _, y in ends[k] if y <= a], default=0) : a])[-1:]
+            right = words(t[b : min([x for x, _ in ends[k] if x >= b], default=len(t))])[:1]
+            left, right = side(left[0]) if left else "", side(right[0]) if right else ""
+            patterns = [("L", left)] * bool(left) + [("B", left, right)] * bool(left and right)
+            seen.append((i, k, a, b, t[a:b], patterns))
+    score = {(v, k): 1.0 for _, k, _, _, v, _ in seen if k}
+    for _ in range(rounds):
+        hits, held, total = Counter(), Counter(), Counter()
+        for _, _, _, _, v, patterns in seen:
+            for p in patterns:
+                total[p] += 1
+                for k in pii.KINDS:
+                    if (v, k) in score:
+                        hits[p, k] += score[v, k]
+                        held[p, k] += 1
+        trusted = {pk: h / (total[pk[0]] + 1) for pk, h in hits.items() if held[pk] >= support and h / (total[pk[0]] + 1) >= confidence - 1e-9}
+        fresh = {(v, k): 1.0 for _, k, _, _, v, _ in seen if k}
+        for _, _, _, _, v, patterns in seen:
+            for (p, k), x in trusted.items():
+                if p in patterns:
+                    fresh[v, k] = max(fresh.get((v, k), 0), x)
+        if len(fresh) == len(score):
+            break
+        score = fresh
+    out = defaultdict(list)
+    for i, k, a, b, _, patterns in seen:
+        found = [(-x, pii.KINDS.index(kk), kk) for (p, kk), x in trusted.items() if p in patterns]
+        if k or found:
+            out[i].append((k or min(found)[2], a, b))
+    return {i: sorted(x, key=lambda s: (pii.KINDS.index(s[0]), s[1])) for i, x in out.items()}
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(8)
+    kinds = [lambda: f"user{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.org", lambda: f"10.0.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"+49 30 {rng.randint(100000, 999999)}", lambda: f"item{rng.randint(1000, 9999)}x", lambda: f"node-{rng.randint(10, 99)}a"]
+    lead = [["mail:", "Contact:"], ["host", "from"], ["call"], ["mail:", "see", "see", "see"], ["host", "in", "in"]]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.choice([0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 3, 4])
+            parts += [rng.choice(["the", "a", "of", "é"]), rng.choice(lead[k]), kinds[k](), rng.choice(["now", "today", "please\n", ""])]
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(df).collect() if r["spans"]}
+    want = brute_spans(texts)
+    assert got == want
+    added = sum(len(x) for x in want.values()) - sum(len(base(t)) for t in texts)
+    assert added > 5
+
+
+def test_pii_of_many_matches(spark):
+    text = " ".join(f"u{i}@x.org item{i:05}z" for i in range(6000))
+    r = pii.find(spark.createDataFrame([(1, text), (None, "a@b.cd"), (None, "a@b.cd"), (None, "x y@b.cd")], "doc_id long, text string")).withColumn("masked", pii.masked()).collect()
+    long = next(x for x in r if x["doc_id"] == 1)
+    assert long["n_email"] == 6000 and long["masked"].count("[EMAIL]") >= 6000
+    assert sorted(x["masked"] for x in r if x["doc_id"] is None) == ["[EMAIL]", "[EMAIL]", "x [EMAIL]"]
+
+
 def test_pii_learns_contexts(spark):
     known = [(i, f"write to Contact: user{i}@mail{i}.org today") for i in range(12)]
     df = spark.createDataFrame([*known, (90, "write to Contact: user77.mail77 today"), (91, "in room: user77x today")], "doc_id long, text string")
