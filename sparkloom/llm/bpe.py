@@ -4,9 +4,10 @@ Encoding reads pieces of text and emits tokens once they are stable. Two things
 held back. Between pretokens: the pattern looks at most two pretokens ahead, so all but the last
 three of a piece are final. Inside a pretoken: the tokens of a prefix are fixed by its last token
 (two tokens may stand side by side if and only if merging their bytes gives the same two again), so
-each prefix has one predecessor, at most ``lookahead`` bytes before it, the longest token of the
-merge list. Where the chains of all prefixes within the lookahead have met, what lies before is
-final and is emitted.
+each prefix has one predecessor, at most the longest token before it. The merge list's sufficient
+lookahead says how many bytes more can still move a boundary (see :func:`sufficient_lookahead`).
+Whenever so many bytes are held, the chains of all prefixes that may still go on are followed back
+to where they have met; what lies before is final and is emitted.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import small_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Characters that are read at once, and bytes of a pretoken above which it is streamed.
+#: Characters that are read at once, and bytes of a pretoken above which its ids aren't remembered.
 PIECE, LONG = 1 << 16, 192
 #: Pretokens whose ids are remembered, in each of two generations.
 REMEMBERED = 400_000
@@ -39,6 +40,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def sufficient_lookahead(merges: list[tuple]) -> int:
+    """Bytes (or letters) after a boundary that can have a say in it, from the merges in the order of their ranks.
+
+    That u and v merge can only be prevented from the right by a merge of lower rank: of v with what
+    follows it, or, before v is whole, of the right part of v. Each of these can in turn be prevented
+    from its right by one of still lower rank only. So the longest such chain of falling ranks, in
+    letters, is a bound; one pass over the merges finds it.
+    """
+    reach: dict = {}  # by left side: the longest chain of the merges so far that begin with it
+    inside: dict = {}  # by result: the longest chain beyond its end that can keep it from forming
+    longest = 0
+    for u, v in merges:
+        chain = len(v) + max(reach.get(v, 0), inside.get(v, 0))
+        inside[u + v] = max(inside.get(u + v, 0), reach.get(v, 0), inside.get(v, 0))
+        reach[u] = max(reach.get(u, 0), chain)
+        longest = max(longest, chain)
+    return longest
+
+
 class Bpe:
     """A vocabulary with merges over the letters of byte strings (or over bytes); what is exact about it.
 
@@ -51,7 +71,8 @@ class Bpe:
         self.rank: dict = {}
         for rank, (a, b) in enumerate(merges):
             self.rank.setdefault((a, b), rank)
-        self.lookahead = max(map(len, ids))
+        self.longest = max(map(len, ids))
+        self.lookahead = max(self.longest, sufficient_lookahead(merges))
         #: Each beginning of a spelling, with the id if it is one itself, else -1.
         self.prefix: dict = {t[:i]: -1 for t in ids for i in range(1, len(t))} | ids
         self.fits: dict[tuple[int, int], bool] = {}
@@ -83,7 +104,7 @@ class Bpe:
         return known
 
     def tokens(self, data) -> list[int]:
-        """The ids of a short pretoken: the longest tokens that can stand side by side, with a way back.
+        """The ids of a whole short pretoken: what the transducer emits at its end, found by the longest tokens first, with a way back.
 
         A sequence of tokens is the one that merging gives if and only if each two neighbours are.
         """
@@ -159,14 +180,13 @@ class ByteBpe(Bpe):
         self.remembered = Remembered(self.packed)
 
     def packed(self, pretoken: str) -> bytes:
-        data = pretoken.encode()
-        return array("I", self.tokens(data)).tobytes() if len(data) <= LONG else b"".join(array("I", x).tobytes() for x in self.streamed(data))
+        return array("I", self.tokens(pretoken.encode())).tobytes()
 
     def streamed(self, data: Iterable[int]) -> Iterator[list[int]]:
-        """Ids of a pretoken of any length, emitted as they become stable."""
+        """Ids of a pretoken of any length, emitted as they become stable; what is held is about twice the lookahead."""
         window = bytearray()
         last: list[int] = []  # the last token of the prefix that ends after each byte of the window
-        longest, ids = self.lookahead, self.ids
+        longest, ids, wait = self.longest, self.ids, 2 * self.lookahead
 
         def back(stop: int, start: int) -> list[int]:
             out = []
@@ -187,7 +207,7 @@ class ByteBpe(Bpe):
                 if self.side_by_side(left, t):
                     last.append(t)
                     break
-            if n % 4096 == 0:
+            if n >= wait:
                 live = set(range(max(1, n - longest), n + 1))
                 while len(live) > 1 and max(live) > 0:
                     at = max(live)
@@ -199,19 +219,27 @@ class ByteBpe(Bpe):
                     yield stable
                     before = stable[-1]
                     del window[:meet], last[:meet]
+                wait = len(window) + self.lookahead
         if window:
             yield back(len(window), 0)
 
     def pretokens(self, pieces: Iterable[str]) -> Iterator[list[str]]:
-        held = ""
+        held, parts, size, least = "", [], 0, 0
         for piece in pieces:
-            held += piece
+            parts.append(piece)
+            size += len(piece)
+            if size < least:
+                continue
+            held, parts = "".join(parts), []
             found = self.find(held)
             if len(found) > 3:
                 tail = sum(map(len, found[-3:]))
                 yield found[:-3]
                 held = held[len(held) - tail :]
-        yield self.find(held)
+            # A run that goes on through all of this is read again only when it has doubled.
+            parts, size = [held], len(held)
+            least = 2 * size
+        yield self.find("".join(parts))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Packed little-endian 32-bit ids of the text, piece by piece."""
@@ -221,7 +249,14 @@ class ByteBpe(Bpe):
             elif part:
                 pieces = [part] if len(part) <= PIECE else (part[i : i + PIECE] for i in range(0, len(part), PIECE))
                 for found in self.pretokens(pieces):
-                    yield b"".join(map(self.remembered.__getitem__, found))
+                    if max(map(len, found), default=0) <= LONG:
+                        yield b"".join(map(self.remembered.__getitem__, found))
+                        continue
+                    for pretoken in found:
+                        if len(pretoken) <= LONG:
+                            yield self.remembered[pretoken]
+                        else:
+                            yield from (array("I", x).tobytes() for x in self.streamed(pretoken.encode()))
 
     def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids; a state machine holds the bytes of an unfinished character."""
@@ -241,8 +276,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_tokens, ids): ids as packed little-endian 32-bit integers (binary).
 
     One row for each row of docs; a null text counts as empty. Strings of special tokens in a text
-    become the special token, as the library does it. An empty table gives an empty result; other
-    columns are ignored.
+    become the special token, as the library does it. A very long text is read in pieces, a very long
+    run without boundary through the transducer. Equal rows are encoded each. An empty table gives an
+    empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the executors at once, and candidates that are scored at once.
-QUERIES, CANDIDATES = 1 << 14, 1 << 12
+#: Queries and candidates that meet in one task.
+QUERIES, CANDIDATES = 1 << 13, 1 << 13
 
 
 def block_top(queries: np.ndarray, vectors: np.ndarray, k: int, own: np.ndarray, lists: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,42 +69,27 @@ def _no_random_access(values: list[np.ndarray], k: int, own: np.ndarray, n: int)
     return np.flatnonzero(may)
 
 
-def _scorer(ids: np.ndarray, queries: np.ndarray, k: int):
-    """For mapInArrow over (vec_id, vector) of one length: each query's k best of the partition."""
-    def run(batches):
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        held_id, held = [], []
-
-        def merge(vec_id: np.ndarray, vectors: np.ndarray) -> None:
-            order = np.argsort(vec_id, kind="stable")
-            vec_id, vectors = vec_id[order], vectors[order]
-            lo, hi = np.searchsorted(vec_id, ids), np.searchsorted(vec_id, ids, side="right")
-            for at in range(0, len(ids), 256):
-                own = [np.arange(a, b) for a, b in zip(lo[at : at + 256], hi[at : at + 256], strict=True)]
-                for q, (index, score) in enumerate(block_top(queries[at : at + 256], vectors, k, own), at):
-                    found, scores = vec_id[index], score
-                    if q in best:
-                        found, scores = np.r_[best[q][0], found], np.r_[best[q][1], scores]
-                        top = np.lexsort((found, -scores))[:k]
-                        found, scores = found[top], scores[top]
-                    best[q] = found, scores
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held_id.append(batch.column(0).to_numpy())
-            held.append(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
-            if sum(map(len, held_id)) >= CANDIDATES:
-                merge(np.concatenate(held_id), np.concatenate(held))
-                held_id, held = [], []
-        if held:
-            merge(np.concatenate(held_id), np.concatenate(held))
-        if best:
-            sizes = [len(best[q][0]) for q in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[list(best)], sizes)), pa.array(np.concatenate([x for x, _ in best.values()])), pa.array(np.concatenate([s for _, s in best.values()]))],
-                ["query_id", "vec_id", "score"],
-            )
+def _scorer(k: int):
+    """For applyInArrow over a block of queries and one of candidates, all of one length: each query's k best of the block."""
+
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", pa.int64()), ("variant", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        if not queries.num_rows or not candidates.num_rows:
+            return kinds.empty_table()
+        numbers = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        ids, variants, wanted = numbers(queries, "id"), numbers(queries, "variant"), matrix(queries)
+        vec_id, vectors = numbers(candidates, "id"), matrix(candidates)
+        order = np.argsort(vec_id, kind="stable")
+        vec_id, vectors = vec_id[order], vectors[order]
+        lo, hi = np.searchsorted(vec_id, ids), np.searchsorted(vec_id, ids, side="right")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(ids), 256):
+            own = [np.arange(a, b) for a, b in zip(lo[at : at + 256], hi[at : at + 256], strict=True)]
+            found += block_top(wanted[at : at + 256], vectors, k, own)
+        sizes = [len(index) for index, _ in found]
+        out = [np.repeat(ids, sizes), np.repeat(variants, sizes), np.concatenate([vec_id[index] for index, _ in found]), np.concatenate([score for _, score in found])]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], schema=kinds)
 
     return run
 
@@ -113,34 +98,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """(query_id, rank, vec_id, score): the k candidates of each query with the highest inner product.
 
     Components x become floor(scale * x). A candidate that has the query's id is the query's own and
-    takes no part, repeated rows with that id included. Ties go to the smaller vec_id. Vectors that
-    are null, hold null or non-finite components or have no id take no part; queries meet vectors of
-    their own length. Queries go to the executors in blocks of bounded size, all candidates are read
-    for each block where they lie, and only k rows for each query and partition are shuffled.
+    takes no part, repeated rows with that id included; other repeated rows are candidates each.
+    Ties go to the smaller vec_id. Equal query rows count once; queries of one id with different
+    vectors have a list each, both under that id. Vectors that are null, hold null or non-finite
+    components or have no id take no part; queries meet vectors of their own length. An empty table
+    gives an empty result.
+
+    Queries and candidates are dealt to blocks of bounded size by a hash of their rows, and each block
+    of queries meets each of candidates in a task: nothing is gathered on the driver but the number of
+    rows of each length, and only k rows for each query and block are shuffled afterwards.
     """
-    spark = vectors.sparkSession
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector_col).cast("array<double>")
         fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         return df.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
-    wanted, given = whole(queries), whole(vectors)
-    sizes = {r["n"]: r["count"] for r in wanted.groupBy(F.size("v").alias("n")).count().collect()}
-    found = None
-    for length, amount in sorted(sizes.items()):
-        blocks = -(-amount // QUERIES)
-        for block in range(blocks):
-            mine = wanted.where((F.size("v") == length) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).distinct().toArrow()
-            ids = mine.column("id").to_numpy()
-            matrix = np.array(mine.column("v").to_pylist(), np.int64).reshape(len(ids), length)
-            order = np.argsort(ids, kind="stable")
-            sent = spark.sparkContext.broadcast((ids[order], matrix[order]))
-            part = given.where(F.size("v") == length).mapInArrow(
-                lambda batches, sent=sent: _scorer(*sent.value, k)(batches), "query_id long, vec_id long, score long"
-            )
-            found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    wanted = whole(queries).distinct().withColumns({"n": F.size("v"), "variant": F.xxhash64("v")})
+    given = whole(vectors).withColumn("n", F.size("v"))
+    tables = [df.groupBy("n").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name)) for df, size, name in ((wanted, QUERIES, "q"), (given, CANDIDATES, "c"))]
+    sizes = tables[0].join(tables[1], "n")
+    block = lambda name, *c: F.pmod(F.xxhash64(*c), F.col(name)).cast("int")
+    upto = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = wanted.join(sizes, "n").select("n", block("q", "id", "v").alias("qb"), upto("c").alias("cb"), "id", "variant", "v")
+    right = given.join(sizes, "n").select("n", block("c", "id", "v").alias("cb"), upto("q").alias("qb"), "id", "v")
+    keys = ["n", "qb", "cb"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scorer(k), "query_id long, variant long, vec_id long, score long")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

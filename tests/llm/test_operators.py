@@ -257,12 +257,56 @@ def test_streamed_encoding_of_long_runs(text):
     assert "".join(byte.decode(raw[i : i + 4] for i in range(0, len(raw), 4))) == text
 
 
-def test_stable_tokens_are_emitted_early():
-    byte = bpe.tokenizer(tokenizer_path("byte_bpe_50k.json"))
+@pytest.mark.parametrize("letters", ["etaoinshr", "a", "ab", "=- ", "0123456789"])
+def test_stable_tokens_are_emitted_early(letters):
+    """Parts join to the ids of the whole, each within twice the lookahead and the longest token of where reading has got to."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    byte = bpe.tokenizer(path)
     rng = random.Random(1)
-    data = "".join(rng.choice("etaoinshr") for _ in range(20000)).encode()
-    parts = list(byte.streamed(data))
-    assert len(parts) > 2 and [t for p in parts for t in p] == byte.merged(data[:64])[:0] + [t for p in parts for t in p]
+    data = "".join(rng.choice(letters) for _ in range(6000)).encode()
+    read = 0
+
+    def watched():
+        nonlocal read
+        for x in data:
+            read += 1
+            yield x
+
+    out, emitted = [], 0
+    for part in byte.streamed(watched()):
+        out += part
+        emitted += sum(len(byte.token[t]) for t in part)
+        assert read - emitted <= 2 * byte.lookahead + byte.longest
+    assert b"".join(byte.token[t] for t in out) == data
+    if letters.isalpha():
+        assert out == Tokenizer.from_file(path).encode(data.decode(), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sufficient_lookahead(seed):
+    """With so many letters to come, no continuation moves a boundary; merges by definition, all continuations of few letters."""
+    rng = random.Random(seed)
+    ids, merges = {b"a": 0, b"b": 1, b"c": 2}, []
+    while len(merges) < 7:
+        u, v = rng.choice(list(ids)), rng.choice(list(ids))
+        if u + v not in ids and len(u + v) < 7:
+            merges.append((u, v))
+            ids[u + v] = len(ids)
+    machine = bpe.Bpe(ids, merges)
+    ahead = bpe.sufficient_lookahead(merges)
+    for _ in range(150):
+        text = bytes(rng.choice(b"abc") for _ in range(ahead + rng.randint(1, 8)))
+        ends = set()
+        for more in (b"", *(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 12))) for _ in range(12))):
+            at, cut = 0, []
+            for t in machine.merged(text + more):
+                at += len(machine.spelling[t])
+                if at <= len(text) - ahead:
+                    cut.append(at)
+            ends.add(tuple(cut))
+        assert len(ends) == 1
 
 
 def brute_increasing(values):
@@ -599,6 +643,21 @@ def test_top_k(spark, dims):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_queries_and_small_blocks(spark, monkeypatch):
+    """Each different vector of a repeated id has a list of its own, and blocks change nothing."""
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    rng = np.random.default_rng(9)
+    table = [(int(i), rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(120)] + [(1, [1.0, 2.0, 3.0, 4.0]), (1, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, df.where("vec_id < 10"), k=5, scale=1).collect()]
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in table if i < 10}:
+        scores = sorted((-sum(int(a * b) for a, b in zip(v, w, strict=True)), j) for j, w in table if j != i)[:5]
+        want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(scores)]
+    assert sorted(got) == sorted(want) and sum(x[0] == 1 for x in got) == 10
+
+
 def test_top_k_of_large_numbers():
     q, v = np.array([[2**40, 1]]), np.array([[2**20, 1], [2**20, 2], [0, 5]])
     (index, score), = topk.block_top(q, v, 2, [np.zeros(0, np.int64)])
