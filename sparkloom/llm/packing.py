@@ -167,7 +167,9 @@ def pack(docs: DataFrame, path: str, room: int = 2048, end_id: int = 1, id_col:
     need no padding either. sequence_id has the partition in its upper bits.
 
     Null and empty texts are the end id alone. An empty table gives an empty result; rows that repeat
-    a doc_id are packed each; other columns are ignored.
+    a doc_id are packed each; of documents of one length the one that is read first comes first. A
+    very long text is encoded whole, with memory in proportion to its tokens, and cut into sequences.
+    Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 

@@ -132,8 +132,9 @@ def rules(
     nothing more: a passage pasted twice covers twice its share. With 0.2 and 0.1 a text goes if long
     repeats cover a fifth of it or if a single one holds a tenth.
 
-    One row for each row of docs; null and empty texts have no words and fail. An empty table gives
-    an empty result; other columns are ignored.
+    One row for each row of docs, equal ones too; null and empty texts have no words and fail. A very
+    long text has a suffix array of its own, with memory in proportion to its words times the logarithm
+    of its longest repeat. An empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
 

@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import drop_materialized, materialize, small_batches, text_id
 
-#: Odd multiplier of the polynomial hashes.
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the polynomial hashes.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))
 
 
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
+def rolling(h: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of every run of `width` words, well mixed."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(width):
-        out *= np.uint64(BASE)
+        out *= np.uint64(base)
         out += h[i : i + n]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -80,10 +80,10 @@ def _windows(width: int, gram: int):
                 h = word_hashes(text.split())
                 chosen = np.isin(anchors(rolling(h, gram), width - gram + 1), np.array(places, np.int64))
                 starts = np.flatnonzero(chosen)
-                keys = rolling(h, width)[starts]
+                keys, checks = rolling(h, width)[starts], (rolling(h, width, OTHER_BASE)[starts] >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), *(pa.array(np.full(len(starts), x, np.int64)) for x in (doc, text_id)), pa.array(starts.astype(np.int32))],
-                    ["window", "doc_id", "text_id", "start"],
+                    [pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), *(pa.array(np.full(len(starts), x, np.int64)) for x in (doc, text_id)), pa.array(starts.astype(np.int32))],
+                    ["window", "check", "doc_id", "text_id", "start"],
                 )
 
     return run
@@ -118,19 +118,19 @@ def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     first = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     copies = materialize(digests.join(first, "digest").where("doc_id > first").select(*row).distinct())
 
-    found = given.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, text_id long, place int")
+    found = materialize(given.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, text_id long, place int"))
     shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = materialize(found.join(shared, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")).join(copies, row, "left_anti"))
     windows = materialize(
         given.join(places, row)
         .select("doc_id", "text", "text_id", "places")
-        .mapInArrow(_regroup(_windows(width, gram)), "window long, doc_id long, text_id long, start int")
+        .mapInArrow(_regroup(_windows(width, gram)), "window long, check int, doc_id long, text_id long, start int")
     )
-    drop_materialized(places)
-    drop_materialized(shared)
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n"))
+    for done in (places, shared, found):
+        drop_materialized(done)
+    earliest = windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n"))
     earliest = materialize(earliest.where("n > 1").drop("n"))
-    later = windows.join(earliest, "window").where("struct(doc_id, text_id, start) > first").groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("s"))
+    later = windows.join(earliest, ["window", "check"]).where("struct(doc_id, text_id, start) > first").groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("s"))
     spans = later.select(
         *row,
         F.expr(f"filter(s, (x, i) -> i = 0 or x - s[i - 1] > {width})").alias("starts"),
@@ -173,7 +173,7 @@ def _kept(width: int):
 BROADCAST_BYTES = 32 << 20
 
 
-def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, factors) for every row of docs.
 
     The text is parsed against all that comes before it (smaller doc_id, or same document and
@@ -183,13 +183,14 @@ def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id
 
     Windows meet by their anchor, the least of their `gram`-word hashes, which equal windows share:
     about one row for seven words is shuffled instead of one for each word, and only windows whose
-    anchor occurs more than once are compared, by a 64-bit hash of their words. Exact copies of a
+    anchor occurs more than once are compared, by 96 bits of hashes of their words. Exact copies of a
     whole text are found first and settled without windows.
 
     Null texts have no words. Rows that repeat a doc_id are one document: equal texts count as one
     text and are cut alike, different ones follow each other in the order of their hash. Rows without
-    doc_id are one document after all others. Texts shorter than a window are kept whole. An empty
-    table gives an empty result; other columns are ignored.
+    doc_id are one document after all others. Texts shorter than a window are kept whole; a very long
+    one is one row's work, with memory in proportion to its words. An empty table gives an empty
+    result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     last = (1 << 63) - 1
@@ -197,7 +198,7 @@ def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id
     docs = docs.select(key.alias("doc_id"), text.alias("text"), text_id(docs, key, text).alias("text_id"))
     flagged = duplicate_spans(docs, width, gram).withColumn("flag", F.lit(True))
     size = flagged.agg(F.sum(F.lit(48) + 8 * F.coalesce(F.size("starts"), F.lit(0)))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if size <= broadcast_bytes:
         flagged = F.broadcast(flagged)
     joined = docs.join(flagged, ["doc_id", "text_id"], "left").select(
         "doc_id", "text", "starts", "stops", F.expr("coalesce(flag and starts is null, false)").alias("whole")

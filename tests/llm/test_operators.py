@@ -176,9 +176,10 @@ def test_one_of_each_row(spark, empty):
     assert near.one_of_each(empty).count() == 0
 
 
-def test_substring(docs, rows, empty):
+@pytest.mark.parametrize("broadcast_bytes", [substring.BROADCAST_BYTES, 0])
+def test_substring(docs, rows, empty, broadcast_bytes):
     got = defaultdict(set)
-    for r in substring.dedup(docs).collect():
+    for r in substring.dedup(docs, broadcast_bytes=broadcast_bytes).collect():
         got[r["doc_id"]].add((r["n_words"], r["n_removed"], r["kept"]))
         assert sum(b - a for a, b in r["factors"]) == r["n_removed"]
     seen, want = set(), {}
