@@ -18,8 +18,8 @@ def rotate(
     dialogues are joined with their participants, of which there are few.
 
     A null role is the speaker `unknown`, a null text is empty, `<|` within a text or a name becomes
-    `< |` so that it can't be taken for a header. Null conversation ids are one conversation, null
-    turns come first. Repeated rows are rendered each. Dialogues of system turns alone give no rows,
+    `< |` so that it can't be taken for a header. A row without conversation id is a dialogue of its
+    own, as nothing says what it belongs to; null turns come first. Repeated rows are rendered each. Dialogues of system turns alone give no rows,
     an empty table an empty result; other columns are ignored.
     """
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
@@ -30,7 +30,8 @@ def rotate(
         plain(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
     )
     people = given.where(F.col("speaker") != system).select(F.col("conv_id").alias("__conv"), F.col("speaker").alias("perspective")).distinct()
-    seen = given.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    alone = given.where(F.col("conv_id").isNull() & (F.col("speaker") != system)).withColumn("perspective", F.col("speaker"))
+    seen = given.join(people, F.col("conv_id") == F.col("__conv")).drop("__conv").unionByName(alone)
     own = F.col("speaker") == F.col("perspective")
     header = (
         F.when(own, F.lit("<|assistant|>"))
@@ -60,6 +61,6 @@ shown AS (
     CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
       ELSE '<|user name=' || speaker || '|>' END || chr(10) || content || '<|end|>' || chr(10) AS segment,
     CAST(speaker = perspective AS INTEGER) AS mask
-  FROM given JOIN people ON conv_id IS NOT DISTINCT FROM conv)
+  FROM (SELECT * FROM given JOIN people ON conv_id = conv UNION ALL SELECT *, NULL, speaker FROM given WHERE conv_id IS NULL AND speaker <> 'system'))
 SELECT conv_id, perspective, turn, speaker, role, segment, mask, CAST(length(segment) AS BIGINT) AS n_chars FROM shown
 """
