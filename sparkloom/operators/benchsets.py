@@ -63,18 +63,19 @@ def identity_histogram(pairs: DataFrame) -> DataFrame:
     return pairs.where("both > 0").groupBy(percent.alias("percent")).agg(F.count("*").alias("pairs"))
 
 
-def sampled_pairs(left: DataFrame, right: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """(set_id, x, y): the pairs across two groups (set_id, seq_id), `most` of each set by the order of a seeded hash.
+def sampled_pairs(left: DataFrame, right: DataFrame, most: int, seed: int = 0, order=None) -> DataFrame:
+    """(set_id, x, y): the pairs across two groups (set_id, seq_id), `most` of each set by the order of a seeded hash (or of what `order` makes of columns).
 
     Each side is thinned to the square root of the target before pairs are formed, so a large set
     never has all of its pairs made.
     """
     side = int(most**0.5) + 1
+    key = order or (lambda *c: F.xxhash64(F.lit(seed), *c))
 
     def thin(df: DataFrame, name: str) -> DataFrame:
-        order = F.row_number().over(Window.partitionBy("set_id").orderBy(F.xxhash64(F.lit(seed), "seq_id"), "seq_id"))
-        return df.select("set_id", F.col("seq_id").alias(name), order.alias("r")).where(F.col("r") <= side).drop("r")
+        place = F.row_number().over(Window.partitionBy("set_id").orderBy(key(F.col("seq_id")), "seq_id"))
+        return df.select("set_id", F.col("seq_id").alias(name), place.alias("r")).where(F.col("r") <= side).drop("r")
 
     both = thin(left, "x").join(thin(right, "y"), "set_id").where("x <> y")
-    order = F.row_number().over(Window.partitionBy("set_id").orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y"))
-    return both.withColumn("r", order).where(F.col("r") <= most).drop("r")
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy(key(F.col("x"), F.col("y")), "x", "y"))
+    return both.withColumn("r", place).where(F.col("r") <= most).drop("r")

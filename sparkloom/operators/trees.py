@@ -194,6 +194,26 @@ def join_order(tree: DataFrame) -> DataFrame:
     return sized.withColumn("r", rank).join(before, "n_leaves").select((F.col("before") + F.col("r")).cast("bigint").alias("place"), "node", "left", "right")
 
 
+def in_order(df: DataFrame, key: str, tie: str, buckets: int = 256) -> DataFrame:
+    """df with `place` from 0 by a whole-number key, then a tie: ranks within ranges of the key plus counts of the ranges before."""
+    ends = df.agg(F.min(key).alias("lo"), (F.max(key) - F.min(key) + 1).alias("span"))
+    dealt = df.join(F.broadcast(ends)).withColumn("bucket", F.floor((F.col(key) - F.col("lo")) * buckets / F.col("span"))).drop("lo", "span")
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("c"))
+    before = counts.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(key, tie)) - 1
+    return dealt.withColumn("r", rank).join(F.broadcast(before), "bucket").withColumn("place", (F.col("before") + F.col("r")).cast("bigint")).drop("bucket", "r", "before")
+
+
+def chain(leaves_: DataFrame) -> DataFrame:
+    """(node, parent, length): leaves (leaf, o) in the order of o, each one step below the one before; inner nodes are -1, -2, ... from the root."""
+    placed = materialize(in_order(leaves_, "o", "leaf"))
+    n = placed.agg(F.count("*").alias("n"))
+    both = placed.join(F.broadcast(n))
+    tips = both.select(F.col("leaf").alias("node"), (-F.least("place", F.col("n") - 2) - 1).alias("parent"), F.lit(1.0).alias("length"))
+    inner = both.where("place < n - 1").select((-F.col("place") - 1).alias("node"), F.when(F.col("place") > 0, -F.col("place")).alias("parent"), F.when(F.col("place") > 0, 1.0).alias("length"))
+    return tips.union(inner)
+
+
 def join_trees(left: DataFrame, right: DataFrame, length: float = 0.0) -> DataFrame:
     """Both trees below a new root; nodes of the right one are numbered after the left one's."""
     shift = left.agg((F.max("node") + 1).alias("shift"))

@@ -167,7 +167,7 @@ def select_families(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT l_partkey % 20 AS family, l_orderkey AS seq_id, l_linenumber AS start FROM lineitem WHERE l_linenumber <= 2),
+    """WITH r AS (SELECT l_partkey % 3 AS family, l_orderkey AS seq_id, l_linenumber AS start FROM lineitem),
   d AS (SELECT seq_id, string_agg(CAST(family AS VARCHAR), '+' ORDER BY start, family) AS domains FROM r GROUP BY 1),
   g AS (SELECT domains, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, domains) AS place FROM d GROUP BY 1 HAVING count(*) >= 3),
   u AS (SELECT domains, place, unnest(list_distinct(string_split(domains, '+'))) AS family FROM g),
@@ -175,8 +175,8 @@ def select_families(spark, sf):
   SELECT domains, any_value(n) AS n, g.place, bool_and(first = f.place) AS taken FROM f JOIN g USING (domains) GROUP BY domains, g.place"""
 )
 def domain_groups(spark, sf):
-    line = s.table(spark, sf, "lineitem").where("l_linenumber <= 2")
-    return benchsets.domain_groups(line.select((F.col("l_partkey") % 20).alias("family"), F.col("l_orderkey").alias("seq_id"), F.col("l_linenumber").alias("start")), 3)
+    line = s.table(spark, sf, "lineitem")
+    return benchsets.domain_groups(line.select((F.col("l_partkey") % 3).alias("family"), F.col("l_orderkey").alias("seq_id"), F.col("l_linenumber").alias("start")), 3)
 
 
 # Merges and accuracy
@@ -201,27 +201,26 @@ def bench_accuracy(spark, sf):
     return tuning.bench(families, align.align_families(families, 1, 3), consistency=1)
 
 
-@query()
+@query(
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey * 7919 % 10007, p_partkey) AS r FROM part WHERE p_partkey % 2 = 0),
+  y AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey * 7919 % 10007, p_partkey) AS r FROM part WHERE p_partkey % 2 = 1),
+  b AS (SELECT x.p_brand AS set_id, x.p_partkey AS x, y.p_partkey AS y, row_number() OVER (PARTITION BY x.p_brand ORDER BY (x.p_partkey * 7919 + y.p_partkey * 104729) % 10007, x.p_partkey, y.p_partkey) AS r
+    FROM x JOIN y ON x.p_brand = y.p_brand WHERE x.r <= 8 AND y.r <= 8)
+  SELECT set_id, x, y FROM b WHERE r <= 50"""
+)
 def sampled_pairs(spark, sf):
     """Pairs of names across the two halves of each brand, at most fifty a brand."""
     part = s.table(spark, sf, "part").select(F.col("p_brand").alias("set_id"), F.col("p_partkey").cast("bigint").alias("seq_id"))
-    return benchsets.sampled_pairs(part.where("seq_id % 2 = 0"), part.where("seq_id % 2 = 1"), 50)
+    mixed = lambda x, y=None: (x * 7919 if y is None else x * 7919 + y * 104729) % 10007
+    return benchsets.sampled_pairs(part.where("seq_id % 2 = 0"), part.where("seq_id % 2 = 1"), 50, order=mixed)
 
 
-@query()
+@query(
+    """WITH o AS (SELECT CAST(c_custkey AS BIGINT) AS leaf, row_number() OVER (ORDER BY c_custkey * 7919 % 1000003, c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer)
+  SELECT leaf AS node, -least(k, n - 2) - 1 AS parent, 1.0::DOUBLE AS length FROM o
+  UNION ALL SELECT -k - 1, CASE WHEN k > 0 THEN -k END, CASE WHEN k > 0 THEN 1.0::DOUBLE END FROM o WHERE k < n - 1"""
+)
 def random_chain_tree(spark, sf):
-    """(node, parent, length): customers in a seeded order, each hung one step below the one before."""
-    order = F.row_number().over(_chain_order()) - 1
-    leaves = s.table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("leaf"), order.cast("bigint").alias("k"))
-    n = leaves.count()
-    hung = leaves.select("leaf", F.least(F.col("k"), F.lit(n - 2)).cast("bigint").alias("parent"))
-    chain = spark.range(n - 1).select((-F.col("id") - 1).alias("node"), F.when(F.col("id") > 0, -F.col("id")).alias("parent"))
-    return hung.select(F.col("leaf").alias("node"), (-F.col("parent") - 1).alias("parent"), F.lit(1.0).alias("length")).union(
-        chain.select("node", "parent", F.when(F.col("parent").isNotNull(), 1.0))
-    )
-
-
-def _chain_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64(F.lit(1), "c_custkey"), "c_custkey")
+    """(node, parent, length): customers in a mixed order, each hung one step below the one before."""
+    key = F.col("c_custkey").cast("bigint")
+    return trees.chain(s.table(spark, sf, "customer").select(key.alias("leaf"), ((key * 7919) % 1000003).alias("o")))

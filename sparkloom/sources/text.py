@@ -157,7 +157,7 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str, float | None]]:
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    text = "".join(r[0] for r in spark.read.option("wholetext", True).text(path).limit(1).collect())
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
     return spark.createDataFrame(parse_newick(text), "node bigint, parent bigint, label string, length double")
 
 
@@ -227,7 +227,7 @@ def parse_mega(text: str) -> tuple[list[tuple], list[tuple]]:
 
 def read_mega(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, feature table) and (file, label, pos, symbols); one file is parsed by one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def rows(part: int):
         def run(batches):
@@ -252,3 +252,82 @@ def confidence_html(rows: DataFrame) -> DataFrame:
     join = lambda keys, at, v, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, F.col(v)))), lambda x: x[v]), sep)
     line = rows.withColumn("span", span).groupBy("msa_id", "seq_id").agg(join(None, "col", "span", "").alias("line"))
     return line.groupBy("msa_id").agg(F.concat(F.lit("<pre>"), join(None, "seq_id", "line", "\n"), F.lit("</pre>")).alias("html"))
+
+
+def read_sequences(spark: SparkSession, path: str, suffix: str | None = None, **options) -> DataFrame:
+    """(file, ord, label, letters) of any input, by its suffix: `.mega` gives each chain's first feature, `.efa` rows without gaps, all else is FASTA."""
+    kind = suffix or path.rstrip("/").rsplit(".", 1)[-1]
+    if kind == "mega":
+        places = read_mega(spark, path)[1].groupBy("file", "label")
+        letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("symbols", 1, 1).alias("c")))), lambda x: x["c"]), "")
+        return places.agg(letters.alias("letters")).select("file", F.monotonically_increasing_id().alias("ord"), "label", F.upper("letters").alias("letters"))
+    if kind == "efa":
+        return read_efa(spark, path).select("file", F.monotonically_increasing_id().alias("ord"), "label", F.upper(F.translate("letters", "-.", "")).alias("letters"))
+    return read_fasta(spark, path, **options)
+
+
+def replicate_path(pattern: str, perm: str | int, seed: int | None = None) -> str:
+    """A path with `@` replaced by `perm.seed`, or by a number alone; a pattern without `@` is an error."""
+    if "@" not in pattern:
+        raise ValueError("no @ in the path of replicates")
+    return pattern.replace("@", f"{perm}.{seed}" if seed is not None else str(perm))
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """(file, label, n_rows, n_cols, gap_open, gap_extend, model) of column-model files; a file that can't be parsed is an error."""
+    import pandas as pd
+
+    def run(batches):
+        from sparkloom.kernels import mega
+
+        for pdf in batches:
+            rows = []
+            for file, value in zip(pdf["file"], pdf["value"], strict=True):
+                head, columns, _ = mega.parse_model(value)
+                rows.append((file, head["label"], head["n_rows"], len(columns), head["gap_open"], head["gap_extend"], value))
+            yield pd.DataFrame(rows, columns=["file", "label", "n_rows", "n_cols", "gap_open", "gap_extend", "model"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return whole.mapInPandas(run, "file string, label string, n_rows int, n_cols int, gap_open double, gap_extend double, model string")
+
+
+def write_models(models: DataFrame, path: str) -> None:
+    """One text file folder for each label of (label, model)."""
+    models.select("label", F.rtrim("model", F.lit("\n")).alias("value")).write.partitionBy("label").mode("overwrite").text(path)
+
+
+def feature_alignments(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """(msa_id, feature, seq_id, row): an alignment of (msa_id, seq_id, col, letter) once for each feature, its letters in place of the residues.
+
+    places: (seq_id, pos from 0, symbols). A residue without symbols is an error.
+    """
+    from sparkloom.operators.msa import positions
+
+    placed = positions(cells).withColumn("p", F.col("pos") - 1).drop("pos", "signed")
+    joined = placed.join(places.select("seq_id", F.col("pos").cast("bigint").alias("p"), "symbols"), ["seq_id", "p"], "left")
+    checked = F.when(F.col("p").isNotNull() & F.col("symbols").isNull(), F.raise_error(F.lit("a residue without symbols")).cast("string")).otherwise(F.col("symbols"))
+    n = places.agg(F.max(F.length("symbols")).alias("n"))
+    each = joined.withColumn("symbols", checked).join(F.broadcast(n)).withColumn("feature", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    letter = F.coalesce(F.substring("symbols", F.col("feature") + 1, F.lit(1)), F.lit("-"))
+    packed = F.array_sort(F.collect_list(F.struct("col", letter.alias("l"))))
+    return each.groupBy("msa_id", "feature", "seq_id").agg(F.array_join(F.transform(packed, lambda x: x["l"]), "").alias("row"))
+
+
+def features_text(runs: DataFrame) -> DataFrame:
+    """(msa_id, value): an annotation file of runs (msa_id, label, first_pos, last_pos, bin): a colour for each tenth, then a line for each run."""
+    head = "\n".join(f"confidence{b}\t{int(255 * b / 10):02x}40{int(255 * (10 - b) / 10):02x}" for b in range(11))
+    line = F.concat_ws("\t", F.format_string("confidence %d", "bin"), "label", F.lit("-1"), F.col("first_pos").cast("string"), F.col("last_pos").cast("string"), F.concat(F.lit("confidence"), F.col("bin").cast("string")))
+    packed = F.array_sort(F.collect_list(F.struct("label", "first_pos", line.alias("t"))))
+    return runs.groupBy("msa_id").agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(packed, lambda x: x["t"]), "\n")).alias("value"))
+
+
+def comparison_html(test: DataFrame, gold: DataFrame) -> DataFrame:
+    """(msa_id, html): the test alignment with each residue coloured by the gold column it stands in; residues that gold lacks stay plain."""
+    from sparkloom.operators.score import residue_join
+
+    hues = residue_join(test, gold).select("msa_id", "seq_id", F.col("test_col").alias("col"), ((F.col("gold_col") * 47) % 360).alias("hue"))
+    coloured = test.join(hues, ["msa_id", "seq_id", "col"], "left")
+    span = F.when(F.col("hue").isNull(), F.col("letter")).otherwise(F.format_string("<span style='background:hsl(%d,70%%,80%%)'>%s</span>", "hue", "letter"))
+    join = lambda at, v, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, F.col(v)))), lambda x: x[v]), sep)
+    line = coloured.withColumn("span", span).groupBy("msa_id", "seq_id").agg(join("col", "span", "").alias("line"))
+    return line.groupBy("msa_id").agg(F.concat(F.lit("<pre>"), join("seq_id", "line", "\n"), F.lit("</pre>")).alias("html"))

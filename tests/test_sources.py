@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.plans import align
 from sparkloom.sources import text
@@ -85,3 +87,46 @@ def test_stream_dereplicates(spark, tmp_path):
     query = dedup.dereplicate_stream(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("kept").count() == 2
+
+
+def test_dispatch_on_suffix(spark, tmp_path):
+    fasta = put(tmp_path, "s.fa", ">a\nAC-D\n")
+    efa = put(tmp_path, "s.efa", "<one\n>a\nAC-\n>b\n-cD\n")
+    assert [(r["label"], r["letters"]) for r in text.read_sequences(spark, fasta).collect()] == [("a", "ACD")]
+    assert sorted((r["label"], r["letters"]) for r in text.read_sequences(spark, efa).collect()) == [("a", "AC"), ("b", "CD")]
+
+
+def test_replicate_paths():
+    assert text.replicate_path("out.@.fa", "abc", 3) == "out.abc.3.fa" and text.replicate_path("c@.fa", 7) == "c7.fa"
+    with pytest.raises(ValueError, match="no @"):
+        text.replicate_path("out.fa", 1)
+
+
+def test_models_are_read_as_written(spark, tmp_path):
+    from sparkloom.kernels import mega
+    from sparkloom.plans import wide_queries
+
+    f = wide_queries.features()
+    coded = [mega.code(wide_queries.symbols(t), f) for t in ("gear", "ear")]
+    value = mega.model_text("m", mega.column_model(np.array([[0, 1, 2, 3], [-1, 0, 1, 2]]), coded, f), f, 2, 0.7, 0.05)
+    text.write_models(spark.createDataFrame([("m", value)], "label string, model string"), str(tmp_path / "models"))
+    r = text.read_models(spark, str(tmp_path / "models" / "*")).first()
+    assert (r["label"], r["n_rows"], r["n_cols"], r["gap_open"]) == ("m", 2, 4, 0.7) and r["model"].strip() == value.strip()
+
+
+def test_feature_alignments(spark):
+    cells = spark.createDataFrame([("m", 1, 1, "A"), ("m", 1, 2, "-"), ("m", 1, 3, "C")], "msa_id string, seq_id bigint, col bigint, letter string")
+    places = spark.createDataFrame([(1, 0, "AX"), (1, 1, "CY")], "seq_id bigint, pos int, symbols string")
+    assert sorted((r["feature"], r["row"]) for r in text.feature_alignments(cells, places).collect()) == [(0, "A-C"), (1, "X-Y")]
+    with pytest.raises(Exception, match="without symbols"):
+        text.feature_alignments(cells, places.where("pos = 0")).collect()
+
+
+def test_annotations_and_comparison(spark):
+    runs = spark.createDataFrame([("m", "a", 1, 4, 10), ("m", "a", 5, 6, 3)], "msa_id string, label string, first_pos bigint, last_pos bigint, bin bigint")
+    value = text.features_text(runs).first()["value"].split("\n")
+    assert len(value) == 13 and value[11] == "confidence 10\ta\t-1\t1\t4\tconfidence10"
+    test = spark.createDataFrame([("m", 1, 1, "A"), ("m", 1, 2, "C"), ("m", 2, 1, "A")], "msa_id string, seq_id bigint, col bigint, letter string")
+    gold = test.where("seq_id = 1").withColumn("col", F.col("col") + 1)
+    html = text.comparison_html(test, gold).first()["html"]
+    assert html == "<pre><span style='background:hsl(94,70%,80%)'>A</span><span style='background:hsl(141,70%,80%)'>C</span>\nA</pre>"
