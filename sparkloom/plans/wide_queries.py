@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.functions.letters import SYMBOLS
-from sparkloom.kernels import mega, profiles
+from sparkloom.kernels import mega
+from sparkloom.kernels.scores import joint
 from sparkloom.operators import ensemble, msa, profile, score, sequences, trees
 from sparkloom.plans import align, groups
 from sparkloom.plans import stand_ins as s
@@ -383,13 +384,10 @@ def queries_against_alignments(spark, sf):
 
 
 def features() -> list[mega.Feature]:
-    letters, joint = profiles.Settings().scores(), None
-    odds = 2.0 ** (letters / 2)
-    p = np.linalg.solve(odds, np.ones(20))
-    joint = np.outer(p, p) * odds
+    q, p = joint()
     kinds = np.array([[0.3, 0.1], [0.1, 0.5]])
     near = np.array([[0.25, 0.08, 0.02], [0.08, 0.2, 0.05], [0.02, 0.05, 0.25]])
-    return [mega.Feature("AA", 0.6, joint.sum(axis=1) / joint.sum(), joint / joint.sum()), mega.Feature("Vowel", 0.2, kinds.sum(axis=1), kinds), mega.Feature("Place", 0.2, near.sum(axis=1), near)]
+    return [mega.Feature("AA", 0.6, p[:20], q[:20, :20]), mega.Feature("Vowel", 0.2, kinds.sum(axis=1), kinds), mega.Feature("Place", 0.2, near.sum(axis=1), near)]
 
 
 def symbols(letters: str) -> list[str]:
