@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch may hold where the session sets no bound; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 _folder: dict[str, str] = {}
 
