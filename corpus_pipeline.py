@@ -54,8 +54,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Rows are kept or dropped one by one, as :func:`near.one_of_each` says: a unique text under a
-    repeated id stays, of equal rows one stays, and rows without id give way to those with one.
+    Candidates meet in pigeonhole blocks of SimHash fingerprints and, beyond 3 bits, in blocks of
+    least hashes; the exact similarity decides. Rows are kept or dropped one by one, as
+    :func:`near.one_of_each` says: a unique text under a repeated id stays, of equal rows one stays,
+    and rows without id give way to those with one.
     """
     return _same(docs, near.one_of_each(docs))
 

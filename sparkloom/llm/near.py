@@ -1,10 +1,13 @@
-"""Near copies by Jaccard similarity of shingle sets: the form of operator 1 for similarities that bit distance can't decide.
+"""Near copies by Jaccard similarity of shingle sets: operator 1 carried on to similarities that bit distance can't decide.
 
-Pairs of a similarity of 0.8 may differ in 47 of 256 SimHash bits, too many for pigeonhole blocks,
-and bit distance alone mistakes 0.7 for 0.8. Blocks of least hashes stand in for blocks of
-fingerprint bits: each set of shingles is filed under 40 drawers, one for each block of 6 least
-hashes. A pair of similarity s shares a drawer with probability 1 - (1 - s ** 6) ** 40: all but 5 in
-a million at 0.8, 3 % at 0.3. Every link is then verified by the exact similarity of the two sets.
+First the steps of operator 1: each set of shingles has a SimHash fingerprint, fingerprints are filed
+under pigeonhole blocks, those at most 3 bits apart link, and links chain into components. No pair of
+fingerprints that close is lost, and each component is a drawer of sets to be compared. But pairs of a
+similarity of 0.8 differ in about 10 of 64 bits (47 of 256 must be allowed for), too many for
+pigeonhole blocks, and bit distance alone mistakes 0.7 for 0.8. So sets also meet under blocks of
+least hashes: each is filed under 40 drawers more, one for each block of 6 least hashes. A pair of
+similarity s shares one of these with probability 1 - (1 - s ** 6) ** 40: all but 5 in a million at
+0.8, 3 % at 0.3. Every link of either kind is then verified by the exact similarity of the two sets.
 
 Components need a spanning forest only. First each set is compared with one pivot of each of its
 drawers, which settles groups of near copies of any size by equi-joins. Drawers whose members are
@@ -21,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, materialize, small_batches
+from sparkloom.llm.simhash import exact_plan, links
 from sparkloom.llm.substring import rolling, word_hashes
 
 DRAWERS, ROWS = 40, 6
-#: Shingles whose least hashes are computed at once.
+#: Shingles whose least hashes or bits are computed at once.
 CHUNK = 1 << 12
 #: Shingles of one group of sets that a task compares.
 TOGETHER = 1 << 20
@@ -38,6 +42,25 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(rolling(word_hashes(words), min(width, len(words)))) if words else np.zeros(0, np.uint64)
 
 
+def _owners(ends: np.ndarray, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in n shingles from `at` on each set starts that has some of them, and which sets these are."""
+    owner = np.searchsorted(ends, np.arange(at, at + n), side="right")
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return first, owner[first]
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set: a bit is set if it is set in over half of the shingles' hashes; empty sets: zero."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends, ones = np.cumsum(sizes), np.zeros((len(sets), 64), np.int64)
+    for at in range(0, len(flat), CHUNK):
+        part = flat[at : at + CHUNK]
+        first, who = _owners(ends, at, len(part))
+        ones[who] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
     state = np.random.default_rng(20_011)
     draw = lambda: state.integers(0, 1 << 64, DRAWERS * ROWS, np.uint64)
@@ -53,9 +76,7 @@ def drawers(sets: list[np.ndarray]) -> np.ndarray:
     for at in range(0, len(flat), CHUNK):
         part = flat[at : at + CHUNK]
         mixed = (part[None, :] ^ xor[:, None]) * times[:, None]
-        owner = np.searchsorted(ends, np.arange(at, at + len(part)), side="right")
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        who = owner[first]
+        first, who = _owners(ends, at, len(part))
         least[:, who] = np.minimum(least[:, who], np.minimum.reduceat(mixed, first, axis=1))
     blocks = least.reshape(DRAWERS, ROWS, len(sets))
     key = np.repeat(np.arange(1, DRAWERS + 1, dtype=np.uint64)[:, None], len(sets), axis=1)
@@ -66,7 +87,7 @@ def drawers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketches(width: int):
-    """For mapInArrow over (__id, __text, __row, text): the set's digest, its size and its drawers."""
+    """For mapInArrow over (__id, __text, __row, text): the set's digest, its size, its fingerprint and its drawers."""
 
     def run(batches):
         for batch in batches:
@@ -79,9 +100,10 @@ def _sketches(width: int):
                     *(batch.column(i) for i in range(3)),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(fingerprints(sets).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(filled))),
                 ],
-                [*KEY, "digest", "size", "drawers"],
+                [*KEY, "digest", "size", "f0", "drawers"],
             )
 
     return run
@@ -201,6 +223,14 @@ def _tried(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.where(F.col("c") >= similarity * (F.col("m") - F.col("c")) - 1e-9).select("a", "b")
 
 
+def _alike(reps: DataFrame) -> DataFrame:
+    """(node, size, key): a drawer for each component of fingerprints at most 3 bits apart, which pigeonhole blocks find."""
+    filled = reps.where("size > 0").select("node", "size", "f0")
+    prints = materialize(filled.groupBy("f0").agg(F.min("node").alias("node")))
+    groups = prints.join(connected_components(links(prints, exact_plan())), "node", "left")
+    return filled.join(groups.select("f0", F.xxhash64(F.lit("bits"), F.coalesce("component", "node")).alias("key")), "f0").select("node", "size", "key")
+
+
 def _classes(docs: DataFrame, similarity: float, width: int, text_col: str, together: int) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): (KEY, digest) of each row of keyed docs, and (digest, n, best), best the first row of the component.
 
@@ -208,12 +238,12 @@ def _classes(docs: DataFrame, similarity: float, width: int, text_col: str, toge
     """
     small_batches(docs.sparkSession)
     texts = docs.select(*KEY, F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(_sketches(width), "__id long, __text long, __row long, digest binary, size long, drawers array<long>"))
+    rows = materialize(texts.mapInArrow(_sketches(width), "__id long, __text long, __row long, digest binary, size long, f0 long, drawers array<long>"))
     own = F.struct(*KEY)
-    grouped = rows.groupBy("digest").agg(F.min(own).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("drawers").alias("drawers"))
+    grouped = rows.groupBy("digest").agg(F.min(own).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "f0", "drawers")))
     # Numbers are drawn once, as they are written, and read from there ever after.
     reps = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
-    filed = reps.select("node", "size", F.explode("drawers").alias("key"))
+    filed = reps.select("node", "size", F.explode("drawers").alias("key")).union(materialize(_alike(reps)))
     pivots = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
     shared = materialize(filed.select("key", "node").join(materialize(pivots), "key"))
     pairs = materialize(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())

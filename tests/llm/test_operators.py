@@ -154,6 +154,58 @@ def test_near_copies_are_found_and_others_are_not(spark, together):
     assert got == want
 
 
+def majority(s):
+    return sum((2 * sum(int(h) >> b & 1 for h in s) > len(s)) << b for b in range(64))
+
+
+def test_near_fingerprints():
+    """Against counting bit by bit, over chunks and empty sets."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 0, 2, 3, 2 * near.CHUNK + 5, 40, 0)]
+    assert [int(f) for f in near.fingerprints(sets)] == [majority(s) for s in sets]
+    assert len(near.fingerprints([])) == 0
+
+
+def alone(sets):
+    """Drawers of least hashes that no two sets share."""
+    return np.array([[xxhash.xxh64_intdigest(s.tobytes(), k) for k in range(near.DRAWERS)] for s in sets], np.uint64).reshape(-1, near.DRAWERS)
+
+
+def test_near_copies_meet_in_pigeonhole_blocks(spark, monkeypatch):
+    """SimHash and its blocks find every link of 3 bits or fewer by themselves, with no drawer of least hashes shared."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    table = []
+    for i in range(30):
+        w = [word() for _ in range(rng.choice([200, 500, 800]))]
+        table += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([word(), *w[1:-1], word()])), (3 * i + 2, " ".join([word(), *w, word()]))]
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in table}
+    prints = {i: majority(near.shingle_set(t.encode(), 5)) for i, t in table}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    want = groups_of([i for i, _ in table], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 and alike(a, b))
+    monkeypatch.setattr(near, "drawers", alone)
+    got = {r["doc_id"]: r["component_id"] for r in near.similar_groups(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert sum(i != g for i, g in want.items()) > 40 and len(set(prints.values())) > 60
+    assert got == want
+
+
+@pytest.mark.parametrize("together", [near.TOGETHER, 300])
+def test_fingerprints_alone_link_nothing(spark, monkeypatch, together):
+    """One fingerprint for all: what links is still what the sets' similarity says."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    table = [(0, "one two"), (1, ""), (2, None)]
+    for i in range(1, 13):
+        w = [word() for _ in range(60)]
+        table += [(10 * i, " ".join(w))] + [(10 * i + k, " ".join(varied(rng, w, 0.8 if k < 4 else 0.7, word)[0])) for k in range(1, 6)]
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for i, t in table}
+    want = groups_of([i for i, _ in table], lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]))
+    monkeypatch.setattr(near, "drawers", alone)
+    monkeypatch.setattr(near, "fingerprints", lambda sets: np.zeros(len(sets), np.uint64))
+    got = {r["doc_id"]: r["component_id"] for r in near.similar_groups(spark.createDataFrame(table, "doc_id long, text string"), together=together).collect()}
+    assert got == want
+
+
 def test_near_forest():
     rng = np.random.default_rng(4)
     sets = [np.flatnonzero(rng.random(40) < 0.9) for _ in range(40)] + [np.zeros(0, np.int64)] * 2
