@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,24 @@ def drop_materialized(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each action inside when it ends; else they stay until the driver's JVM happens to collect garbage.
+
+    Only for frames that are executed once: a second run of the same one computes its shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def text_id(docs: DataFrame, key: Column, text: Column) -> Column:
     """A number that tells the texts of a repeated document key apart: always 0 if no key of docs has several."""
     own = F.xxhash64(text.cast("binary"))

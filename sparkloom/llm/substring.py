@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop_materialized, materialize, small_batches, text_id
+from sparkloom.llm.common import drop_materialized, materialize, shuffles_dropped, small_batches, text_id
 
 #: Odd multipliers of the polynomial hashes.
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -111,23 +111,26 @@ def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     docs: (doc_id long without nulls, text binary, text_id long). What is aggregated by a key is
     written before it is joined: both sides of a join are then plain exchanges, of which adaptive
-    execution splits the partition of a hot key.
+    execution splits the partition of a hot key. What a step has written goes before the next one
+    that does not read it.
     """
     row, given = ["doc_id", "text_id"], docs.where("text is not null")
     digests = given.select(*row, F.unhex(F.sha2("text", 256)).alias("digest"))
     first = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     copies = materialize(digests.join(first, "digest").where("doc_id > first").select(*row).distinct())
+    drop_materialized(first)
 
     found = materialize(given.mapInArrow(_all_anchors(width, gram), "anchor long, doc_id long, text_id long, place int"))
     shared = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = materialize(found.join(shared, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")).join(copies, row, "left_anti"))
+    for done in (shared, found):
+        drop_materialized(done)
     windows = materialize(
         given.join(places, row)
         .select("doc_id", "text", "text_id", "places")
         .mapInArrow(_regroup(_windows(width, gram)), "window long, check int, doc_id long, text_id long, start int")
     )
-    for done in (places, shared, found):
-        drop_materialized(done)
+    drop_materialized(places)
     earliest = windows.groupBy("window", "check").agg(F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.count("*").alias("n"))
     earliest = materialize(earliest.where("n > 1").drop("n"))
     later = windows.join(earliest, ["window", "check"]).where("struct(doc_id, text_id, start) > first").groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("s"))
@@ -138,8 +141,8 @@ def duplicate_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
     )
     null = F.lit(None).cast("array<int>")
     flagged = materialize(spans.unionByName(copies.select(*row, null.alias("starts"), null.alias("stops"))))
-    drop_materialized(windows)
-    drop_materialized(earliest)
+    for done in (windows, earliest, copies):
+        drop_materialized(done)
     return flagged
 
 
@@ -195,9 +198,10 @@ def dedup(docs: DataFrame, width: int = 20, gram: int = 6, id_col: str = "doc_id
     small_batches(docs.sparkSession)
     last = (1 << 63) - 1
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(last)), F.col(text_col).cast("binary")
-    docs = docs.select(key.alias("doc_id"), text.alias("text"), text_id(docs, key, text).alias("text_id"))
-    flagged = duplicate_spans(docs, width, gram).withColumn("flag", F.lit(True))
-    size = flagged.agg(F.sum(F.lit(48) + 8 * F.coalesce(F.size("starts"), F.lit(0)))).first()[0] or 0
+    with shuffles_dropped(docs.sparkSession):
+        docs = docs.select(key.alias("doc_id"), text.alias("text"), text_id(docs, key, text).alias("text_id"))
+        flagged = duplicate_spans(docs, width, gram).withColumn("flag", F.lit(True))
+        size = flagged.agg(F.sum(F.lit(48) + 8 * F.coalesce(F.size("starts"), F.lit(0)))).first()[0] or 0
     if size <= broadcast_bytes:
         flagged = F.broadcast(flagged)
     joined = docs.join(flagged, ["doc_id", "text_id"], "left").select(

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,6 +249,22 @@ def test_substring(docs, rows, empty, broadcast_bytes):
     assert substring.dedup(empty).count() == 0
 
 
+def test_substring_drops_its_shuffle_files(spark, docs):
+    """What the steps shuffled is gone when they have ended, whether or not the JVM has collected garbage."""
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, ends = shuffled(), time.monotonic() + 20
+    out = substring.dedup(docs)
+    while (left := shuffled() - before) and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert sorted(r["n_words"] for r in out.collect()) == sorted(r["n_words"] for r in out.collect())
+
+
 def test_substring_without_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     got = substring.dedup(spark.createDataFrame([(None, t), (5, t + " x"), (None, None)], "doc_id long, text string")).collect()
