@@ -81,6 +81,12 @@ def test_one_residue_column_by_mode(spark):
     assert {r["gold_col"]: r["right"] for r in score.column_scores(gold, gold, "strict").collect()} == {1: 1, 2: 1}
 
 
+def test_aligned_columns_of_one_letter(spark):
+    rows = cells(spark, [("m", 1, "ACg-"), ("m", 2, "A-g-")])
+    for most_gaps, columns in ((1.0, [1, 2]), (0.5, [1, 2]), (0.4, [1])):
+        assert sorted(r["col"] for r in msa.aligned_columns(rows, most_gaps).collect()) == columns
+
+
 def test_quartiles_take_the_upper_median(spark):
     got = sequences.quartiles(spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "v bigint"), "v").collect()[0]
     assert (got["lo"], got["median"], got["hi"], got["n"]) == (1, 3, 4, 4)
