@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.kernels import blocks, family, hmm
+from sparkloom.kernels import blocks, family, guide, hmm, mega
 from sparkloom.operators import ensemble
-from sparkloom.plans import catalog
+from sparkloom.plans import align, catalog, groups, wide_queries
 from tests.test_oracles import TABLES, plain
 
 
@@ -78,3 +78,72 @@ def test_greedy_merges_against_all_closenesses(seed):
         joins.append((i, j))
         parts[8 + len(joins)] = blocks._joined(parts.pop(i), parts.pop(j))
     assert blocks.merge_greedily(given) == (*parts[8 + len(joins)], joins)
+
+
+@pytest.fixture(scope="module")
+def sequences(spark):
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("ACDEW"), 7)) for _ in range(14)]
+    table = [("a", i, names[rng.integers(14)]) for i in range(40)] + [("b", i, names[i]) for i in range(3)]
+    return spark.createDataFrame(table, "set_id string, seq_id bigint, letters string")
+
+
+def test_pairs_meet_in_blocks(sequences):
+    rows = sequences.collect()
+    want = sorted((a["set_id"], a["seq_id"], b["seq_id"], a["letters"], b["letters"]) for a in rows for b in rows if a["set_id"] == b["set_id"])
+    some = align.pairs_between(sequences.where("seq_id % 2 = 0"), sequences, 7)
+    assert sorted(map(tuple, some.collect())) == [r for r in want if r[1] % 2 == 0]
+    ea = align.expected_accuracies(align.pairs_within(sequences))
+    assert ea.rdd.getNumPartitions() >= 8 * sequences.sparkSession.sparkContext.defaultParallelism
+    got = {(r["set_id"], r["x"], r["y"]): r["ea"] for r in ea.collect()}
+    assert got == {(s, x, y): hmm.expected_accuracy(hmm.posterior(hmm.Model().code(a), hmm.Model().code(b))) for s, x, y, a, b in want if x < y}
+
+
+def test_accuracy_clusters_see_all_centroids(sequences):
+    """Before: only those of the round in which a sequence was first reached."""
+    found = {(r["set_id"], r["seq_id"]): r for r in groups.cluster_by_accuracy(sequences, 0.9, 2).collect()}
+    letters = {(r["set_id"], r["seq_id"]): r["letters"] for r in sequences.collect()}
+    ea = lambda s, x, y: hmm.pair_accuracy(letters[s, x], letters[s, y])
+    centres: dict = {}
+    for s, i in sorted(letters):
+        if not any(ea(s, c, i) > 0.9 for c in centres.get(s, [])):
+            centres.setdefault(s, []).append(i)
+    assert len(centres["a"]) > 2
+    for s, i in letters:
+        want = (i, 1.0) if i in centres[s] else min(((c, ea(s, i, c)) for c in centres[s]), key=lambda x: (-x[1], x[0]))
+        assert (found[s, i]["centroid_id"], found[s, i]["ea"]) == want
+
+
+def test_column_models_read_all_sequences(spark, sf):
+    sizes = {r["set_id"]: r["count"] for r in catalog._families(spark, sf).groupBy("set_id").count().collect()}
+    models = {r["set_id"]: int(r["model"].split("\t")[1]) for r in catalog.QUERIES["feature_column_models"](spark, sf).collect()}
+    assert models == sizes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_of_kinds_is_that_of_all(seed):
+    rng = np.random.default_rng(seed)
+    f = wide_queries.features()
+    coded = [mega.code(wide_queries.symbols(["gear", "ear", "gears", "olive"][k]), f) for k in rng.integers(0, 4, 9)]
+    post = {(i, j): mega.posterior(coded[i], coded[j], f).astype(np.float32) for i in range(9) for j in range(i + 1, 9)}
+    whole = family.assemble(post, [len(c) for c in coded], 2, 3)
+    assert mega.align(coded, f, refine=3).tolist() == whole.rows[np.argsort(whole.ids)].tolist()
+
+
+@pytest.mark.parametrize("linkage", ["min", "max", "avg", "avgs", "biased"])
+def test_joins_are_the_first_least_ones(linkage):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        d = rng.integers(0, 5, (12, 12)).astype(float)
+        d = d + d.T
+        joins, left = [], d.copy()
+        np.fill_diagonal(left, np.inf)
+        name, size = list(range(12)), [1] * 12
+        for k in range(11):
+            i, j = sorted(np.unravel_index(left.argmin(), left.shape))
+            joins.append((name[i], name[j], left[i, j] / 2))
+            a, b = left[i].copy(), left[j].copy()
+            left[i] = left[:, i] = {"min": np.minimum(a, b), "max": np.maximum(a, b), "avg": (a + b) / 2, "avgs": (size[i] * a + size[j] * b) / (size[i] + size[j]), "biased": 0.1 * ((a + b) / 2) + 0.9 * np.minimum(a, b)}[linkage]
+            left[i, i], left[j], left[:, j] = np.inf, np.inf, np.inf
+            name[i], size[i] = 12 + k, size[i] + size[j]
+        assert guide.agglomerate(d, linkage) == joins
