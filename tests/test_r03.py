@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.kernels import blocks, family, guide, hmm, mega
-from sparkloom.operators import ensemble
+from sparkloom.operators import ensemble, kmers
 from sparkloom.plans import align, catalog, groups, wide_queries
 from tests.test_oracles import TABLES, plain
 
@@ -147,3 +147,19 @@ def test_joins_are_the_first_least_ones(linkage):
             left[i, i], left[j], left[:, j] = np.inf, np.inf, np.inf
             name[i], size[i] = 12 + k, size[i] + size[j]
         assert guide.agglomerate(d, linkage) == joins
+
+
+@pytest.mark.parametrize("block", [(1 << 18, 1 << 12), (40, 3)])
+@pytest.mark.parametrize("letters", ["AB", "ACDEFGHIKL"])
+def test_common_words_in_blocks(spark, letters, block):
+    rng = np.random.default_rng(len(letters))
+    counted = {(s, i, "".join(rng.choice(list(letters), 2))): int(rng.integers(1, [4, 1 << 30][i == 3])) for s in "xy" for i in range(11) for _ in range(9)}
+    df = spark.createDataFrame([(*k, n) for k, n in counted.items()], "set_id string, seq_id bigint, kmer string, n bigint")
+    own, want = {}, {}
+    for (s, i, w), n in counted.items():
+        own[s, i] = own.get((s, i), 0) + n
+        for j in range(i + 1, 11):
+            if (s, j, w) in counted:
+                want[s, i, j] = want.get((s, i, j), 0) + min(n, counted[s, j, w])
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in kmers.shared(df, block).collect()}
+    assert got == {(s, i, j): (c, own[s, i], own[s, j]) for (s, i, j), c in want.items()}
